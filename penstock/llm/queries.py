@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import ledger, shards
+from . import ledger, packing, shards, tokenfile
 
 QUERIES = {
     "op2_rule_ledger": ledger.query,
+    "op3_packed_ids": tokenfile.query,
+    "op7_best_fit_packing": packing.query,
     "op9_histogram_shards": shards.query,
 }
 ORACLE_SQL = {"op2_rule_ledger": ledger.ORACLE}
