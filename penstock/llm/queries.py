@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ledger, packing, shards, tokenfile
+from . import langid, ledger, media, packing, shards, tokenfile
 
 QUERIES = {
     "op2_rule_ledger": ledger.query,
     "op3_packed_ids": tokenfile.query,
     "op7_best_fit_packing": packing.query,
+    "op8_language_id": langid.query,
     "op9_histogram_shards": shards.query,
+    "op10_media_columns": media.query,
 }
 ORACLE_SQL = {"op2_rule_ledger": ledger.ORACLE}
