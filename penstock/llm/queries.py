@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, ledger, media, packing, shards, tokenfile
+from . import langid, ledger, media, mixing, packing, quality, shards, tokenfile
 
 QUERIES = {
     "op2_rule_ledger": ledger.query,
     "op3_packed_ids": tokenfile.query,
+    "op5_quality_bayes": quality.query,
+    "op6_raked_mixture": mixing.query,
     "op7_best_fit_packing": packing.query,
     "op8_language_id": langid.query,
     "op9_histogram_shards": shards.query,
