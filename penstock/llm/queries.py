@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, ledger, media, mixing, packing, quality, shards, tokenfile
+from . import langid, ledger, media, mixing, neardup, packing, quality, shards, tokenfile
 
 QUERIES = {
     "op2_rule_ledger": ledger.query,
     "op3_packed_ids": tokenfile.query,
+    "op4_lsh_forest": neardup.query,
     "op5_quality_bayes": quality.query,
     "op6_raked_mixture": mixing.query,
     "op7_best_fit_packing": packing.query,
