@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, ledger, media, mixing, neardup, packing, quality, shards, tokenfile
+from . import langid, ledger, maxent, media, mixing, neardup, packing, quality, shards, tokenfile
 
 QUERIES = {
+    "op1_maxent_scores": maxent.query,
     "op2_rule_ledger": ledger.query,
     "op3_packed_ids": tokenfile.query,
     "op4_lsh_forest": neardup.query,
