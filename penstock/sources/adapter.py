@@ -38,8 +38,8 @@ def oracle(sql: str) -> str:
     """A query over the canonical views as one statement for DuckDB; {S:x} and {A:x} are sum and mean through decimals."""
     import re
 
-    sql = re.sub(r"\{S:([^}]*)\}", r"CAST(sum(CAST(\1 AS DECIMAL(24,6))) AS DOUBLE)", sql)
-    sql = re.sub(r"\{A:([^}]*)\}", r"CAST(sum(CAST(\1 AS DECIMAL(24,6))) AS DOUBLE) / count(\1)", sql)
+    sql = re.sub(r"\{S:([^}]*)\}", r"CAST(sum(CAST((\1) + 3e-10 AS DECIMAL(24,6))) AS DOUBLE)", sql)
+    sql = re.sub(r"\{A:([^}]*)\}", r"CAST(sum(CAST((\1) + 3e-10 AS DECIMAL(24,6))) AS DOUBLE) / count(\1)", sql)
     body = sql.strip()
     return f"WITH {SQL_VIEWS.strip()}" + (f", {body[5:]}" if body.upper().startswith("WITH ") else f" {body}")
 
