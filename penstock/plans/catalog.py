@@ -443,3 +443,6 @@ def confusion_matrix(s, d):
 @query("SELECT fact_type AS enrichment_source, count(*) AS n, round({A:CAST(id % 10 AS DOUBLE) / 10}, 4) AS confidence FROM facts GROUP BY 1")
 def review_stats(s, d):
     return stats.review_stats(facts(s, d).select(F.col("fact_type").alias("enrichment_source"), (F.col("id") % 10 / 10).cast("double").alias("enrichment_confidence")))
+
+
+from . import catalog_entities  # noqa: E402, F401  the second part adds itself
