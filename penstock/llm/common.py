@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at once; a longer single text is taken whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _own: dict[str, str] = {}
 
 
