@@ -28,6 +28,9 @@ DIM = 16
 #: Documents to fit on and to calibrate on, at most about, over all languages; and languages, the most frequent first.
 SAMPLE, CALIBRATION, LANGUAGES = 2400, 2400, 200
 
+#: No prediction with a higher calibrated score is rejected.
+MOST_REJECTED = 0.4
+
 _FOLD = LOWER.copy()
 _FOLD[SEPARATOR] = 0x20
 _ASCII_LETTER = np.zeros(256, bool)
@@ -183,7 +186,7 @@ def train(docs: DataFrame, lang_col: str = "lang", epochs: int = 6, rate: float
 
 
 def _calibrated(model: Model, bags) -> Model:
-    """The temperature with the least log loss on texts not fitted on, and the rejection score: of the right predictions there, no more than one in a thousand may fall below it, and it is 0.5 at most."""
+    """The temperature with the least log loss on texts not fitted on, and the rejection score: of the right predictions there, no more than one in a thousand may fall below it, and it is MOST_REJECTED at most, so that a text in two languages, which each get about half, is kept."""
     bags = [b for b in bags if b[0] in model.languages]
     if len(bags) < 20:
         return model
@@ -197,7 +200,7 @@ def _calibrated(model: Model, bags) -> Model:
     model.temperature = min(np.geomspace(0.02, 20, 80).tolist(), key=lambda t: -np.log(probs(t)[np.arange(len(y)), y] + 1e-12).mean())
     p = probs(model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    model.reject_below = min(0.5, float(np.quantile(right, 0.001))) if len(right) else 0.0
+    model.reject_below = min(MOST_REJECTED, float(np.quantile(right, 0.001))) if len(right) else 0.0
     return model
 
 
