@@ -124,10 +124,11 @@ def collapse_clouds(bundles: DataFrame, clouds: DataFrame) -> DataFrame:
     rank = F.struct(agent, (F.col("bundle_type") != "basket").cast("int"), F.col("ord"))
     pay = F.when(F.col("bundle_type") == "payment_record", F.col("amount"))
     c = bundles.join(clouds, "ord").groupBy("cloud").agg(
-        F.count("*").alias("n"), F.countDistinct("slug").alias("slugs"), F.countDistinct("amount").alias("totals"), F.countDistinct("bundle_type").alias("types"), F.max("amount").alias("total_amount"), F.sum(pay).alias("paid"),
+        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("slug") != "", F.col("slug")))).alias("slugs"), F.countDistinct("amount").alias("totals"), F.countDistinct("bundle_type").alias("types"), F.max("amount").alias("total_amount"), F.sum(pay).alias("paid"),
         F.min_by("vendor", rank).alias("vendor"), F.min_by("vendor_key", rank).alias("vendor_key"), F.min("event_date").alias("event_date"), F.min("currency").alias("currency"),
     )
-    score = F.when(F.col("slugs") <= 1, 0.3).otherwise(0.0) + F.when(F.col("totals") == 1, 0.4).when(F.abs(F.col("paid") - F.col("total_amount")) <= 0.02, 0.3).otherwise(0.0) + F.when(F.col("types") > 1, 0.2).otherwise(0.0)
+    one = (F.size("slugs") > 0) & F.forall("slugs", lambda x: (x == F.col("slugs")[0]) | V.slugs_match(x, F.col("slugs")[0]))
+    score = F.when(one, 0.3).otherwise(0.0) + F.when(F.col("totals") == 1, 0.4).when(F.abs(F.col("paid") - F.col("total_amount")) <= 0.02, 0.3).otherwise(0.0) + F.when(F.col("types") > 1, 0.2).otherwise(0.0)
     conf = F.when(F.col("n") == 1, 1.0).otherwise(F.round(score, 2))
     return c.withColumn("confidence", conf).withColumn("status", F.when(conf >= 0.8, "confirmed").when(conf >= 0.5, "partial").otherwise("forming")).withColumn("fact_type", F.lit("purchase"))
 
