@@ -48,7 +48,7 @@ def to_png(raw: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # each row has filter 0 in front
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\x00" + b"%020d" % len(raw)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\x00" + b"%020d" % len(raw)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def head_of(data: bytes) -> tuple[int, int, int]:
