@@ -138,12 +138,12 @@ def _bags(sample: DataFrame, lang_col: str) -> list[tuple[str, np.ndarray, np.nd
     for r in sorted(rows, key=lambda r: (r.lang, bytes(r.k), bytes(r.c))):
         c = np.frombuffer(r.c, "<u4").astype(np.float32)
         if len(c):
-            out.append((r.lang, np.frombuffer(r.k, "<u2").astype(np.int64), c / c.sum()))
+            out.append((r.lang, np.frombuffer(r.k, "<u2"), c / c.sum()))
     return out
 
 
 def _batch(bags, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    idx, w = np.concatenate([bags[i][1] for i in rows]), np.concatenate([bags[i][2] for i in rows])
+    idx, w = np.concatenate([bags[i][1] for i in rows]).astype(np.int64), np.concatenate([bags[i][2] for i in rows])
     return idx, w, np.repeat(np.arange(len(rows)), [len(bags[i][1]) for i in rows])
 
 
@@ -182,6 +182,7 @@ def train(docs: DataFrame, lang_col: str = "lang", epochs: int = 6, rate: float
             lin -= rate * 0.2 * gl / np.sqrt(seen_l)
             bias -= rate * 0.05 * gb / np.sqrt(seen_b)
     model = Model(names, emb @ lin, bias.astype(np.float64))
+    del bags, seen_e, emb  # the driver holds one sample at a time
     return _calibrated(model, _bags(_sampled(docs.where(half == 1), CALIBRATION, lang_col, 2), lang_col))
 
 
