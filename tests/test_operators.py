@@ -181,3 +181,22 @@ def test_cadence():
     c = streams.Cadence({"a": 6, "b": 72})
     state = c.ran({}, c.due({}, 0.0), 0.0)
     assert c.due(state, 7 * 3600) == ["a"]
+
+
+def test_flush_by_count_or_time(spark, tmp_path):
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.createDataFrame([("k", str(i)) for i in range(45)], "key string, id string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, id string").parquet(str(tmp_path / "in"))
+    q = streams.flushed(stream, 20, 5).writeStream.outputMode("append").format("memory").queryName("flushes").option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            n = [r.n for r in spark.sql("select n from flushes").collect()]
+            if sum(n) == 45:
+                break
+        assert n == [20, 20, 5]
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
