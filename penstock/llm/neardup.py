@@ -7,7 +7,8 @@
    candidates far below the threshold. What is left joins nodes into families (connected components).
 3. The full sets of a family meet in one task and are searched breadth first: intersections are counted exactly, and every
    node reached is linked. A family with more shingles than a task may hold is dealt into several bounded pieces, in several
-   orders, each with the family's most central nodes, and the pieces' results are joined by a second component search.
+   orders, each with the family's most central nodes, and the pieces' results are joined by a second component search. Where
+   that leaves the family in several components, their nodes meet block against block, so no link between them is missed.
 
 Defined results: a null or wordless text has no shingles and is linked with nothing; a text with fewer than k words is one
 shingle, its whole sequence; equal sets are linked whatever their texts; rows that share an id are nodes of their own, and
@@ -315,6 +316,29 @@ def _top(ranked: DataFrame) -> DataFrame:
     return some.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("agree"), "node"))).where(F.col("r") <= HUBS).select("family", "node")
 
 
+def _blocks(rows: DataFrame, group: list[str], limit: int) -> DataFrame:
+    """rows: group, node, root, w and others. Adds `main` and `block` and repeats rows so that any two of a group with different roots share a block of about `limit` by w. Rows of a group's largest root (main) needn't meet each other; groups with one root are left out."""
+    sizes = rows.groupBy(*group, "root").agg(F.sum("w").alias("w"), F.count("*").alias("k"))
+    shape = sizes.groupBy(*group).agg(F.max_by("root", F.struct("w", "root")).alias("top"), F.max("w").alias("most"), F.sum("w").alias("all"), F.sum("k").alias("k"), F.count("*").alias("roots")).where("roots > 1")
+    parts = lambda w: F.least(F.ceil(F.lit(2.0) * w / limit).cast("long"), F.col("k"))
+    shape = shape.select(*group, "top", parts(F.col("most")).alias("mains"), parts(F.col("all") - F.col("most")).alias("rests"))
+    x = rows.join(shape, group).withColumn("main", F.col("root") == F.col("top"))
+    x = x.withColumn("own", F.when(F.col("main"), F.col("rests") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rests"))))
+    last = F.when(F.col("main"), F.col("rests") - 1).otherwise(F.col("rests") + F.col("mains") - 1)
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).where("own <> other")
+    return x.withColumn("block", F.least("own", "other") * (F.col("rests") + F.col("mains")) + F.greatest("own", "other")).select(*rows.columns, "main", "block")
+
+
+def _completed(docs: DataFrame, members: DataFrame, found: DataFrame, rule: Rule, limit: int) -> DataFrame:
+    """found, with the links that the dealings missed: where a cut family is still in several components, every two nodes of different components meet on full sets."""
+    near = components(found).withColumnRenamed("root", "linked_to")
+    cut = members.groupBy("family").agg(F.max("piece").alias("most")).where("most > 0").select("family")
+    rows = members.join(cut, "family", "left_semi").select("node", "id", "f1", "f2", "n", "family").dropDuplicates(["node"]).join(near, "node", "left")
+    rows = written(rows.select("node", "id", "f1", "f2", F.col("n").alias("w"), "family", F.coalesce("linked_to", "node").alias("root")), "cut-families")
+    met = _blocks(rows, ["family"], limit).select("node", "id", "f1", "f2", "family", F.col("block").alias("piece"))
+    return found.unionByName(written(_confirmed(docs, met, rule), "late-links"))
+
+
 def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, and node, equal for rows with equal sets (null: no shingles)."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
@@ -324,6 +348,8 @@ def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     families = components(_candidates(_forest(nodes), rule)).withColumnRenamed("root", "family")
     members, cut = _dealt(nodes.select("node", "id", "f1", "f2", "n", "sig").join(families, "node"), block_shingles)
     found = written(_confirmed(plain, members.select("node", "id", "f1", "f2", "family", "piece"), rule), "links")
+    if cut:
+        found = _completed(plain, members, found, rule, block_shingles)
     roots = components(found) if cut else found.selectExpr("a as node", "b as root")
     named = nodes.select("node", "f1", "f2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "roots")

@@ -110,3 +110,18 @@ def test_components(spark):
     touched = {x for a, b in pairs if a != b for x in (a, b)}
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {i: find(i) for i in touched}
+
+
+def test_cut_chain_keeps_every_link(spark):
+    """Links between neighbours alone, in a family dealt into many pieces."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    chain, rows = [word() for _ in range(200)], []
+    for i in range(90):
+        chain = list(chain)
+        at = 15 * i % 195
+        chain[at : at + 5] = [word() for _ in range(5)]
+        rows.append((i, " ".join(chain)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = neardup.groups(docs, neardup.Rule(3, 85), block_shingles=1500).collect()
+    assert sorted(((False, r.doc_id), r.n_shingles, (False, r.component_id)) for r in got) == brute(rows, 3, 85)
