@@ -2,9 +2,10 @@
 
 1. Each text becomes its set of k-word shingles, an exact fingerprint of the set and a signature of TREES * DEPTH minima.
    Texts with equal sets are one node from here on, so copies cost nothing further.
-2. Each tree sorts all nodes by its own DEPTH minima. Neighbours with a common prefix of LEAST_DEPTH are candidates; where a
-   region is crowded, it is thinned by leaders and then split at longer prefixes. A sketch of the signature drops
-   candidates far below the threshold. What is left joins nodes into families (connected components).
+2. Each tree sorts all nodes by its own DEPTH minima. Nodes with a common prefix of LEAST_DEPTH (a region) are candidates;
+   a sketch of the signature drops those far below the threshold. What is left joins nodes into families (connected
+   components). A crowded region is first thinned by leaders and split at longer prefixes; then the nodes of crowded regions,
+   and of those cut by a partition, meet block against block as far as they are still in different components.
 3. The full sets of a family meet in one task and are searched breadth first: intersections are counted exactly, and every
    node reached is linked. A family with more shingles than a task may hold is dealt into several bounded pieces, in several
    orders, each with the family's most central nodes, and the pieces' results are joined by a second component search. Where
@@ -32,10 +33,10 @@ from .textkit import mix, shingles, word_hashes
 
 TREES, DEPTH, LEAST_DEPTH = 10, 8, 2
 _K = TREES * DEPTH
-#: Regions up to so many nodes are compared in full; larger ones first give up the nodes close to their leaders.
+#: Regions up to so many nodes are compared in full at once; larger ones first give up the nodes close to their leaders.
 CROWD, LEADERS = 64, 8
-#: Rows of a region that a task holds at once.
-REGION = 20_000
+#: Rows of a region that a task holds at once, and of a block of a crowded one.
+REGION, REGION_BLOCK = 20_000, 4_000
 #: Shingles of a family, or of a piece of one, that a task holds at once; copies of central nodes; orders of dealing.
 BLOCK_SHINGLES, HUBS, ORDERS = 4_000_000, 32, 3
 #: Family members up to this number are broadcast to the texts (a few words each); more are joined by shuffling.
@@ -156,10 +157,10 @@ def _region(keys: np.ndarray, sketch: np.ndarray, depth: int, least: float, u: _
 
 
 def _candidates(forest: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): each node with the first node of its candidates, region by region."""
+    """(a, b): each node with the first node of its candidates, region by region. Without a and b: tree and prefix of regions that were crowded or may go on in another partition."""
     least = rule.sketch_matches
 
-    def regions(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def regions(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(tree), bool)
         new[1:] = (tree[1:] != tree[:-1]) | (keys[1:, :LEAST_DEPTH] != keys[:-1, :LEAST_DEPTH]).any(axis=1)
         starts = np.append(np.flatnonzero(new), len(tree))
@@ -171,15 +172,26 @@ def _candidates(forest: DataFrame, rule: Rule) -> DataFrame:
         pairs = [(i, r) for i in touched if (r := u.find(i)) != i]
         if pairs:
             i, r = np.array(pairs).T
-            yield node[i], node[r]
+            yield rows_of(a=pa.array(node[i]), b=pa.array(node[r]), tree=pa.nulls(len(i), pa.int32()), prefix=pa.nulls(len(i), pa.binary()))
+        crowded = starts[:-1][np.diff(starts) > CROWD]
+        if len(crowded):
+            yield opened(tree[crowded], keys[crowded])
+
+    def rows_of(**columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def opened(tree: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(tree), pa.int64())
+        prefix = [x.tobytes() for x in np.ascontiguousarray(keys[:, :LEAST_DEPTH]).astype(">u4")]
+        return rows_of(a=none, b=none, tree=pa.array(tree, pa.int32()), prefix=pa.array(prefix, pa.binary()))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        last = None
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             if rows:
-                for a, b in regions(*(np.concatenate(x) for x in zip(*rows, strict=True))):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield from regions(*(np.concatenate(x) for x in zip(*rows, strict=True)))
 
         for batch in batches:
             n = batch.num_rows
@@ -189,6 +201,9 @@ def _candidates(forest: DataFrame, rule: Rule) -> DataFrame:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(n, DEPTH).astype(np.uint32)
             sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, _K)
             held.append((tree, keys, batch.column(2).to_numpy(), sketch))
+            if last is None:
+                yield opened(tree[:1], keys[:1])
+            last = tree[-1:], keys[-1:]
             same = (tree == tree[-1]) & (keys[:, :LEAST_DEPTH] == keys[-1, :LEAST_DEPTH]).all(axis=1)
             tail = int(np.argmax(same))  # the last region may go on in the next batch
             if tail or sum(len(x[0]) for x in held) >= REGION:
@@ -198,9 +213,44 @@ def _candidates(forest: DataFrame, rule: Rule) -> DataFrame:
                 yield from flush(held)
                 held = [rest] if rest else []
         yield from flush(held)
+        if last is not None:
+            yield opened(*last)
 
     dealt = forest.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return dealt.mapInArrow(part, "a bigint, b bigint")
+    return dealt.mapInArrow(part, "a bigint, b bigint, tree int, prefix binary")
+
+
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """rows: tree, prefix, block, main, root, sketch. (a, b): roots with candidates among each other in a block; main rows are compared with the others alone."""
+
+    def block(table: pa.Table) -> pa.Table:
+        main = table.column("main").to_numpy()
+        order = np.argsort(main, kind="stable")
+        names, root = np.unique(table.column("root").to_numpy()[order], return_inverse=True)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, _K)[order]
+        u = _Union(len(names))
+        for i in range(int((~main).sum())):
+            near = (sketch[i + 1 :] == sketch[i]).sum(axis=1, dtype=np.uint8) >= least
+            for r in np.unique(root[i + 1 :][near]).tolist():
+                u.join(int(root[i]), r)
+        pairs = np.array([(i, r) for i in range(len(names)) if (r := u.find(i)) != i], np.int64).reshape(-1, 2)
+        return pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
+
+    return rows.groupBy("tree", "prefix", "block").applyInArrow(block, "a bigint, b bigint")
+
+
+def _families(nodes: DataFrame, rule: Rule, region_block: int = REGION_BLOCK) -> DataFrame:
+    """(node, root) under all candidates: every two nodes of a region whose sketches agree enough are in one family."""
+    found = written(_candidates(_forest(nodes), rule), "candidates")
+    near = written(components(found.where("a is not null").select("a", "b")), "families")
+    regions = found.where("a is null").select("tree", "prefix").distinct()
+    forest = _forest(nodes).withColumn("prefix", F.substring("key", 1, 4 * LEAST_DEPTH))
+    rows = forest.join(regions, ["tree", "prefix"]).join(near, "node", "left")
+    rows = written(rows.select("tree", "prefix", "node", "sketch", F.coalesce("root", "node").alias("root"), F.lit(1).alias("w")), "open-regions")
+    more = written(_met(_blocks(rows, ["tree", "prefix"], region_block), rule.sketch_matches), "late-candidates")
+    if not more.head(1):
+        return near
+    return components(near.selectExpr("node as a", "root as b").unionByName(more))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -345,7 +395,7 @@ def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     rows = written(_sets(plain, rule), "shingle-sets")
     nodes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    families = components(_candidates(_forest(nodes), rule)).withColumnRenamed("root", "family")
+    families = _families(nodes, rule).withColumnRenamed("root", "family")
     members, cut = _dealt(nodes.select("node", "id", "f1", "f2", "n", "sig").join(families, "node"), block_shingles)
     found = written(_confirmed(plain, members.select("node", "id", "f1", "f2", "family", "piece"), rule), "links")
     if cut:

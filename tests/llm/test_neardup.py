@@ -125,3 +125,29 @@ def test_cut_chain_keeps_every_link(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = neardup.groups(docs, neardup.Rule(3, 85), block_shingles=1500).collect()
     assert sorted(((False, r.doc_id), r.n_shingles, (False, r.component_id)) for r in got) == brute(rows, 3, 85)
+
+
+def test_crowded_regions_miss_no_pair(spark):
+    """2,400 distinct sets that share half their shingles, and 600 near copies of some, and 400 chains off one family: all pairs of each region are compared."""
+    rng = np.random.default_rng(7)
+    new = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    shared = new(100)
+    sets = [np.concatenate([shared, new(100)]) for _ in range(2400)]
+    sets += [np.concatenate([s[20:], new(18)]) for s in sets[:600]]
+    base = new(200)  # 300 near copies draw off their neighbours, which have neighbours of their own
+    change = lambda s, n: np.concatenate([rng.permutation(s)[n:], new(n)])
+    middle = [change(base, 32) for _ in range(400)]
+    sets += [change(base, 4) for _ in range(300)] + middle + [change(s, 32) for s in middle]
+    sigs = np.stack([neardup.signature(s) for s in sets])
+    nodes = spark.createDataFrame([(i, s.astype("<u4").tobytes()) for i, s in enumerate(sigs)], "node bigint, sig binary").repartition(6)
+    rule = neardup.Rule(3, 80)
+    family = {r.node: r.root for r in neardup._families(nodes, rule, 500).collect()}
+    sketch, pairs = sigs.astype(np.uint8), 0
+    for t in range(neardup.TREES):
+        key = sigs[:, t * neardup.DEPTH : t * neardup.DEPTH + neardup.LEAST_DEPTH]
+        for i in range(len(sets)):
+            at = i + 1 + np.flatnonzero((key[i + 1 :] == key[i]).all(axis=1))
+            for j in at[(sketch[at] == sketch[i]).sum(axis=1) >= rule.sketch_matches].tolist():
+                pairs += 1
+                assert family[i] == family[j]
+    assert pairs > 600
