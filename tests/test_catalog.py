@@ -19,3 +19,16 @@ def test_query(spark, con, name):
         assert difference(spark, con, QUERIES[name], SQL[name], SF) is None
     else:
         QUERIES[name](spark, SF).count()
+
+
+def test_reconcile_lines_takes_all_facts(spark):
+    from penstock.plans.catalog import items
+    from penstock.plans.catalog_entities import reconcile_lines
+
+    got, want = {}, {}
+    for r in reconcile_lines(spark, SF).collect():
+        got.setdefault(r.fact_id, []).append(round(r.total_price, 2))
+        assert r.reconciled  # the printed total is the lines' own sum
+    for r in items(spark, SF).select("fact_id", "total_price").collect():
+        want.setdefault(r.fact_id, []).append(round(float(r.total_price), 2))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
