@@ -88,8 +88,10 @@ def resolve_products(queries: DataFrame, catalogue: DataFrame, threshold: float
     exact = q.join(newest, "norm").groupBy("q").agg(F.min_by("p", F.struct(F.col("vendor_key") != F.col("cv"), "cv")).alias("p"), F.min(F.col("vendor_key") != F.col("cv")).alias("other")).select("q", "p", F.when(F.col("other"), "exact").otherwise("exact_vendor").alias("how"), F.lit(1.0).alias("score"))
     rest = q.join(exact, "q", "left_anti")
     cand = fts_candidates(postings(newest.select(F.col("norm").alias("name"), "p.brand", "p.category")), rest.select("q", F.col("norm").alias("text")))
-    pairs = cand.select("q", F.col("name").alias("cn")).join(rest, "q").join(newest.withColumnRenamed("norm", "cn"), "cn")
-    s = F.least(F.lit(1.0), seq_ratio(F.col("norm"), F.col("cn")) + F.when(F.col("vendor_key") == F.col("cv"), 0.05).otherwise(0.0))
+    # Names are compared once, whatever number of vendors has them.
+    alike = cand.select("q", F.col("name").alias("cn")).join(rest, "q").withColumn("ratio", seq_ratio(F.col("norm"), F.col("cn"))).where(F.col("ratio") >= threshold - 0.051)
+    pairs = alike.join(newest.withColumnRenamed("norm", "cn"), "cn")
+    s = F.least(F.lit(1.0), F.col("ratio") + F.when(F.col("vendor_key") == F.col("cv"), 0.05).otherwise(0.0))
     fuzzy = pairs.withColumn("score", s).where(F.col("score") >= threshold).groupBy("q").agg(F.max_by("p", F.struct("score", "cn", "cv")).alias("p"), F.round(F.max("score"), 4).alias("score"))
     return exact.unionByName(fuzzy.select("q", "p", F.lit("fuzzy").alias("how"), "score")).select("q", "how", "score", "p.brand", "p.category")
 

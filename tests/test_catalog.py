@@ -32,3 +32,18 @@ def test_reconcile_lines_takes_all_facts(spark):
     for r in items(spark, SF).select("fact_id", "total_price").collect():
         want.setdefault(r.fact_id, []).append(round(float(r.total_price), 2))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_product_resolve_knows_every_vendor(spark):
+    from penstock.plans.catalog import items
+    from penstock.plans.catalog_entities import product_resolve
+
+    names = items(spark, SF).selectExpr("crc32(cast(name as binary)) as q").distinct()
+    assert {r.q for r in product_resolve(spark, SF).collect()} == {r.q for r in names.collect()}
+
+
+def test_identity_lookup_asks_for_all_facts(spark):
+    from penstock.plans.catalog import facts
+    from penstock.plans.catalog_entities import identity_lookup
+
+    assert sorted(r.q for r in identity_lookup(spark, SF).collect()) == sorted(r.id for r in facts(spark, SF).select("id").collect())
