@@ -54,9 +54,9 @@ def upsert_vectors(index: DataFrame, changed: DataFrame, removed: DataFrame | No
 
 
 def encode_entities(facts: DataFrame, documents: DataFrame, items: DataFrame, embed) -> DataFrame:
-    """Three kinds of entity in one schema; embed: a column function of the text."""
+    """Three kinds of entity in one schema; embed: a column function of the whole text."""
     f = facts.select(F.concat(F.lit("fact:"), F.col("id").cast("string")).alias("entity"), F.lit("fact").alias("kind"), F.concat_ws(" ", "vendor", F.col("total_amount").cast("string"), "currency", F.col("event_date").cast("string")).alias("text"))
-    d = documents.select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")), F.lit("document"), F.concat_ws(" ", "source", F.substring("text", 1, 500)))
+    d = documents.select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")), F.lit("document"), F.concat_ws(" ", "source", "text"))
     i = items.select("name", "brand", "category").distinct().select(F.concat(F.lit("item:"), F.col("name")), F.lit("item"), F.concat_ws(" ", "name", "brand", "category"))
     return f.union(d).union(i).withColumn("embedding", embed(F.col("text")))
 

@@ -117,6 +117,17 @@ def vector_search(s, d):
     return search.vector_search(_vectors(s, d), _Q, 10)
 
 
+def _hashed_words(text):
+    """A deterministic embedding: words of the text by 16 hash classes."""
+    words = F.split(F.lower(text), r"\s+")
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(16)) == k)).cast("double"))
+
+
+@query()
+def entity_embeddings(s, d):
+    return search.encode_entities(facts(s, d), s.read.parquet(f"{d}/documents.parquet"), items(s, d), _hashed_words).select("entity", "kind", "embedding")
+
+
 @query()
 def hybrid_search(s, d):
     v = search.vector_search(_vectors(s, d), _Q, 10).select(F.col("vec_id").cast("string").alias("id"), F.col("similarity").alias("score"))

@@ -47,3 +47,11 @@ def test_identity_lookup_asks_for_all_facts(spark):
     from penstock.plans.catalog_entities import identity_lookup
 
     assert sorted(r.q for r in identity_lookup(spark, SF).collect()) == sorted(r.id for r in facts(spark, SF).select("id").collect())
+
+
+def test_entity_embeddings_take_whole_documents(spark):
+    from penstock.plans.catalog_entities import entity_embeddings
+
+    want = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "size(split(lower(concat_ws(' ', source, text)), '\\\\s+')) as n").collect()
+    got = entity_embeddings(spark, SF).where("kind = 'document'").collect()
+    assert sorted((r.entity, sum(r.embedding)) for r in got) == sorted((f"document:{r.doc_id}", r.n) for r in want)
