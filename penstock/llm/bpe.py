@@ -2,7 +2,9 @@
 
 The library splits a text into pieces by the pattern of its byte-level pre-tokenizer and encodes each piece alone. Here
 the pieces are found for a whole buffer at once in numpy, looked up by hash in a bounded table, and only pieces not seen
-before go to the library. A text with characters whose class may differ between Unicode versions goes to the library whole.
+before go to the library. A text with characters whose class may differ between Unicode versions goes to the library whole,
+and so does one with the string of an added token, which the library takes out before it looks for pieces. Pieces beyond
+LONG bytes are encoded each time; shorter ones are told apart by a hash of 64 bits.
 """
 
 from __future__ import annotations
@@ -12,12 +14,16 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from .textkit import prefix, span_hash, utf8
+from .textkit import span_hash, utf8
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: The white space of the pattern, and the ranges of code points whose class all Unicode versions in use agree on.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _STABLE = [(0x0000, 0x052F), (0x2000, 0x206F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+#: Bytes of a piece beyond which it isn't kept in the table.
+LONG = 64
+#: Ids that the table may hold.
+ARENA = 1 << 24
 _SUFFIXES = ("s", "t", "m", "d", "re", "ve", "ll")
 
 _classes: np.ndarray | None = None
@@ -91,13 +97,13 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Encoder:
-    """slots: size of the table. It is emptied when two fifths full, so its memory doesn't grow with the vocabulary."""
+    """slots: size of the table. It is emptied when two fifths full or when it holds ARENA ids, so its memory doesn't grow with the vocabulary."""
 
     def __init__(self, path: str, end_id: int | None = 0, slots: int = 1 << 22):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values() if x.content]
         self.end_id = end_id
         self.slots = slots
         self.clear()
@@ -134,10 +140,11 @@ class Encoder:
 
     def _entries(self, h: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
+        out[e - s > LONG] = 0
         open_ = None
         for slot in self._slots(h):
             if open_ is None:
-                hit = self.keys[slot] == h
+                hit = (self.keys[slot] == h) & (out < 0)
                 out[hit] = self.entry[slot[hit]]
             else:
                 sl = slot[open_]
@@ -169,14 +176,29 @@ class Encoder:
                 break
         return out
 
+    def _with_added(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts with the string of an added token."""
+        out, raw = np.zeros(len(off) - 1, bool), buf.tobytes()
+        for x in self.added:
+            at = raw.find(x)
+            while at >= 0:
+                out[np.searchsorted(off, at, "right") - 1] = True
+                at = raw.find(x, at + 1)
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with end_id behind it; offsets). A null text is empty."""
         buf, off = utf8(texts)
-        if self.n > self.slots * 2 // 5:
+        if self.n > self.slots * 2 // 5 or self.used > ARENA:
             self.clear()
         s, first, odd = pieces(buf, off)
         e = np.append(s[1:], len(buf)) if len(s) else s
-        ent = self._entries(span_hash(prefix(buf), s, e), buf, s, e) if len(s) else np.zeros(0, np.int64)
+        odd |= self._with_added(buf, off)
+        ent = self._entries(span_hash(buf, s, e), buf, s, e) if len(s) else np.zeros(0, np.int64)
+        long = np.flatnonzero(e - s > LONG)
+        if len(long):
+            spans = [buf[a:b].tobytes().decode("utf-8") for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True)]
+            ent[long] = self._add([x.ids for x in self.library.encode_batch_fast(spans, add_special_tokens=False)])
         if odd.any():  # their pieces give way to one entry that the library made
             drop = np.zeros(len(ent), bool)
             for d in np.flatnonzero(odd).tolist():

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, table, written
-from .textkit import SEPARATOR, mix, prefix, span_hash, utf8, words
+from .textkit import SEPARATOR, mix, span_hash, utf8, words
 
 #: Labelled documents to fit on, at most about.
 SAMPLE = 12_000
@@ -49,9 +49,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, off = utf8(texts)
     n = len(off) - 1
     kinds = np.bincount(np.repeat(np.arange(n) * 8, np.diff(off)) + _KINDS[buf], minlength=8 * n).reshape(n, 8)
-    p = prefix(buf)
     s, e, first = words(buf, off)
-    h = span_hash(p, s, e)
+    h = span_hash(buf, s, e)
     n_words = np.diff(first)
     doc = np.repeat(np.arange(n), n_words)
     again = np.zeros(n)
@@ -68,7 +67,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x = np.stack(
         [
             np.minimum(kinds[:, 3] / w, 1), np.minimum(3 * kinds[:, 1] / c, 1), np.minimum(kinds[:, 4] / w, 1), np.minimum(2 * again / w, 1),
-            np.maximum(lines - _distinct(span_hash(p, a, b), line_doc, n), 0) / ln * np.minimum(1, lines / 8), 1 - distinct / w, (1 - distinct / w) / np.log(w + 10),
+            np.maximum(lines - _distinct(span_hash(buf, a, b), line_doc, n), 0) / ln * np.minimum(1, lines / 8), 1 - distinct / w, (1 - distinct / w) / np.log(w + 10),
             np.log1p(n_words) / 8, np.minimum(c / w / 10, 2), kinds[:, 2] / c, np.minimum(kinds[:, 5] / w, 1),
         ],
         axis=1,

@@ -10,23 +10,9 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_R = 0x9E3779B97F4A7C15
-_R_INV = pow(_R, -1, 1 << 64)
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        m = max(n, 1 << 16)
-        out = []
-        for r in (_R, _R_INV):
-            x = np.full(m, r, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _pow, _inv = out
-    return _pow, _inv
+#: A random number for each byte at each of 64 places; the places of longer spans are mixed in.
+_PLACES = 64
+_BYTE_AT = np.random.default_rng(0x5EED).integers(0, 1 << 64, _PLACES * 256, dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,23 +56,29 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(s, off)
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash takes the hash of any span."""
-    pw, _ = _powers(len(buf) + 1)
-    p = np.zeros(len(buf) + 1, np.uint64)
-    x = buf.astype(np.uint64)
-    x += np.uint64(1)
-    x *= pw[: len(buf)]
-    np.cumsum(x, out=p[1:])
-    return p
-
-
-def span_hash(p: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [s, e): equal for equal bytes, wherever they stand."""
-    _, inv = _powers(len(p))
-    h = p[e] - p[s]
-    h *= inv[s]
-    h += (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def span_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [s, e), which are not empty, ascend and don't overlap: equal for equal bytes, wherever they stand.
+
+    A hash is a sum of random numbers, one for each (place, byte), so no structure of the bytes makes two of them meet."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    size = e - s
+    first = np.cumsum(size) - size
+    total = int(first[-1] + size[-1])
+    place = np.arange(total) - np.repeat(first, size)
+    if total == e[-1] - s[0]:
+        byte = buf[s[0] : e[-1]]
+    else:
+        edge = np.zeros(len(buf) + 1, np.int8)
+        edge[s] += 1
+        edge[e] -= 1
+        byte = buf[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    x = _BYTE_AT[(place & (_PLACES - 1)) << 8 | byte]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        x[far] = mix(x[far] + (place[far] // _PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = np.add.reduceat(x, first)
+    h += size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix(h)
 
 
@@ -96,7 +88,7 @@ def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndar
     if fold:
         buf = LOWER[buf]
     s, e, first = words(buf, off)
-    return buf, s, e, first, span_hash(prefix(buf), s, e)
+    return buf, s, e, first, span_hash(buf, s, e)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
