@@ -6,7 +6,9 @@ seek and unpacked as a whole with numpy. Documents are dealt out by range of id
 for a partition; a manifest row for each file gives its place in the whole stream.
 
 Defined results: a null or empty text is the end id alone; a null id sorts first and is stored as null; rows that share
-an id are separate documents, side by side; an empty table gives no files and an empty result; other columns are ignored.
+an id are separate documents, side by side in order of a hash of the text, then of the text, so a hot id spreads over several
+files; a very long text is encoded whole and spans blocks; an empty table gives no files and an empty result; an id that
+doesn't fit the width is an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ def width_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """ids below 2 ** width, width bits each: 32 ids fill width words, and one numpy operation handles one of the 32 places in all groups."""
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"id {int(ids.max())} does not fit {width} bits")
     n = -(-len(ids) // 32)
     x = np.zeros((n, 32), np.uint64)
     x.reshape(-1)[: len(ids)] = ids
@@ -109,38 +113,53 @@ class Writer:
 
 
 class TokenFile:
-    """Random access to one file."""
+    """Random access to one file. Documents first to last (all by default) are known by number; only their rows of the tables are read."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, first: int = 0, last: int | None = None):
         self.f = reader(uri)
         size = self.f.size()
-        self.n, self.n_docs, docs, blocks, magic = _FOOT.unpack(self.f.read_at(_FOOT.size, size - _FOOT.size))
+        self.n, self.n_docs, docs, self.blocks, magic = _FOOT.unpack(self.f.read_at(_FOOT.size, size - _FOOT.size))
         head, _, self.width, self.block = _HEAD.unpack(self.f.read_at(_HEAD.size, 0))
         if head != MAGIC or magic != MAGIC:
             raise ValueError(f"{uri} is not a token file")
-        self.doc_ids = np.frombuffer(self.f.read_at(8 * self.n_docs, docs), "<i8")
-        self.starts = np.append(np.frombuffer(self.f.read_at(8 * self.n_docs, docs + 8 * self.n_docs), "<i8"), self.n)
-        self.offsets = np.frombuffer(self.f.read_at(size - _FOOT.size - blocks, blocks), "<u8")
+        self.n_blocks = (size - _FOOT.size - self.blocks) // 8
         self.end = docs
+        self.first, self.last = first, self.n_docs if last is None else min(last, self.n_docs)
+        self.doc_ids = self._table("<i8", docs, self.first, self.last)
+        self.starts = self._table("<i8", docs + 8 * self.n_docs, self.first, min(self.last + 1, self.n_docs))
+        if self.last == self.n_docs:
+            self.starts = np.append(self.starts, self.n)
+
+    def _table(self, kind: str, at: int, a: int, b: int) -> np.ndarray:
+        """Entries a to b of a table of 8-byte numbers."""
+        return np.frombuffer(self.f.read_at(8 * (b - a), at + 8 * a), kind) if b > a else np.zeros(0, kind)
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, from the blocks that hold them, read in one piece."""
         if stop <= start:
             return np.zeros(0, np.uint32)
         b0, b1 = start // self.block, (stop - 1) // self.block + 1
-        at = int(self.offsets[b0])
-        end = int(self.offsets[b1]) if b1 < len(self.offsets) else int(self.end)
+        offsets = self._table("<u8", self.blocks, b0, min(b1 + 1, self.n_blocks))
+        at = int(offsets[0])
+        end = int(offsets[b1 - b0]) if b1 < self.n_blocks else int(self.end)
         # Full blocks take a whole number of words, so neighbouring blocks unpack as one.
         ids = unpack(self.f.read_at(end - at, at), self.width, min(self.n, b1 * self.block) - b0 * self.block)
         return ids[start - b0 * self.block : stop - b0 * self.block]
 
     def document(self, k: int) -> np.ndarray:
-        return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
+        return self.tokens(int(self.starts[k - self.first]), int(self.starts[k + 1 - self.first]))
+
+
+def vocabulary_of(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizer."""
+    from tokenizers import Tokenizer
 
+    return 1 + max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
 
-def write(docs: DataFrame, tokenizer: str, vocabulary: int, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files below path. The manifest: path, part, n_docs, n_ids, and start, the ids in all files before."""
-    width = width_for(vocabulary)
+
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the files below path, with ids as wide as the tokenizer's vocabulary needs. The manifest: path, part, n_docs, n_ids, and start, the ids in all files before."""
+    width = width_for(max(vocabulary_of(tokenizer), end_id + 1))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,7 +177,8 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, path: str, end_id: i
             yield pa.RecordBatch.from_pydict({"path": [name], "part": [TaskContext.get().partitionId()], "n_docs": [n_docs], "n_ids": [w.n]}, schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     spark = docs.sparkSession
-    dealt = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` as text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` as text", f"xxhash64(`{text_col}`) as _tie")
+    dealt = dealt.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie")
     files = written(dealt.mapInArrow(part, "path string, part int, n_docs bigint, n_ids bigint"), "token-manifest")
     rows, at, out = files.orderBy("part").collect(), 0, []  # a row for each partition
     for r in rows:
@@ -174,9 +194,8 @@ def read(manifest: DataFrame, docs_in_task: int = 20_000) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                f = TokenFile(path)
-                last = min(first + docs_in_task, f.n_docs)
-                k = first
+                f = TokenFile(path, first, first + docs_in_task)
+                k, last = 0, len(f.doc_ids)
                 while k < last:  # about a megabyte of ids at once, or one document
                     to = max(k + 1, min(last, int(np.searchsorted(f.starts, f.starts[k] + (1 << 20), "right")) - 1))
                     base = int(f.starts[k])
@@ -191,13 +210,9 @@ def read(manifest: DataFrame, docs_in_task: int = 20_000) -> DataFrame:
     return spec.repartition("path", "first").mapInArrow(part, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-#: Ids of the query's tokenizer.
-VOCABULARY = 50_257
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the ids of every document, written and read back."""
     import public_tokenizers
 
-    files = write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), VOCABULARY, scratch(spark, "token-files"))
+    files = write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-files"))
     return read(files)

@@ -10,16 +10,17 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from penstock.llm import bpe, packing, tokenfile  # noqa: E402
+from penstock.llm import bpe, packing, textkit, tokenfile  # noqa: E402
 from penstock.llm.common import scratch  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ROWS = [(3, "a b's  c\n\n d"), (1, None), (2, ""), (None, "no id"), (5, "word " * 3000), (4, "ties"), (6, "ties"), (6, "ties"), (7, "中文 𝔸 ́ '' 're x"), (8, "<|endoftext|> tail ")]
+#: A word whose complement has the same polynomial hash modulo a power of two, whatever the base.
+MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+ROWS = [(3, "a b's  c\n\n d"), (1, None), (2, ""), (None, "no id"), (5, "word " * 3000), (4, "ties"), (6, "ties"), (6, "ties"), (7, "中文 𝔸 ́ '' 're x"), (8, "<|endoftext|> tail "), (9, "a <|endoftext|> b"), (10, "x" * 3000 + " y " + "z" * 65), (11, MORSE), (12, MORSE.translate(str.maketrans("ab", "ba")))]
 
 
 def ids_of(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -34,7 +35,6 @@ def docs(spark):
 
 def test_kernel_equals_library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     e = bpe.Encoder(PATH, slots=1 << 12)
     rng = random.Random(7)
     alphabet = ["'s", "'re", "'", "  ", " ", "\n", "\t", "a", "b", "é", "1", ".", "!", "S", "ll", "ve", " '", "中", " ", "😀", "́", "٠"]
@@ -52,8 +52,24 @@ def test_pack_round_trip(width):
     assert (tokenfile.unpack(raw, width, len(x)) == x).all() and len(raw) == -(-len(x) // 32) * 4 * width
 
 
+def test_pack_refuses_what_does_not_fit():
+    with pytest.raises(ValueError):
+        tokenfile.pack(np.array([1, 65536, 5]), 16)
+    assert tokenfile.vocabulary_of(PATH) == 1 + max(Tokenizer.from_file(PATH).get_vocab().values())
+
+
+def test_no_structured_collisions():
+    flipped = MORSE.translate(str.maketrans("ab", "ba"))
+    _, _, _, _, h = textkit.word_hashes(pa.array([f"{MORSE} {flipped} {MORSE}", MORSE]))
+    assert h[0] == h[2] == h[3] != h[1]
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 200))) for _ in range(3000)]
+    _, _, _, _, h = textkit.word_hashes(pa.array([" ".join(words)]))
+    assert len(set(words)) == len(set(h.tolist()))
+
+
 def test_files_round_trip(spark, docs):
-    files = tokenfile.write(docs, PATH, tokenfile.VOCABULARY, scratch(spark, "t"))
+    files = tokenfile.write(docs, PATH, scratch(spark, "t"))
     got = sorted(tuple(r) for r in tokenfile.read(files, 2).fillna(-1, ["doc_id"]).collect())
     want, at = [], 0
     for i, t in sorted(((-1 if i is None else i), t) for i, t in [(i, t or "") for i, t in ROWS]):
@@ -67,7 +83,7 @@ def test_files_round_trip(spark, docs):
 
 def test_empty_tables(spark, docs):
     none = docs.where("false")
-    assert tokenfile.read(tokenfile.write(none, PATH, tokenfile.VOCABULARY, scratch(spark, "t"))).count() == 0
+    assert tokenfile.read(tokenfile.write(none, PATH, scratch(spark, "t"))).count() == 0
     assert packing.pack(none, PATH).count() == 0
 
 
