@@ -13,8 +13,8 @@
 
 Defined results: a null or wordless text has no shingles and is linked with nothing; a text with fewer than k words is one
 shingle, its whole sequence; equal sets are linked whatever their texts; rows that share an id are nodes of their own, and
-the least id of a component names it (null only if all are null); an empty table gives an empty result; other columns are
-ignored, or kept by `distinct_texts`.
+the least id of a component names it (null only if all are null); a very long text is one set, read whole; an empty table
+gives an empty result; other columns are ignored, or kept by `distinct_texts`.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ CROWD, LEADERS = 64, 8
 REGION, REGION_BLOCK = 20_000, 4_000
 #: Shingles of a family, or of a piece of one, that a task holds at once; copies of central nodes; orders of dealing.
 BLOCK_SHINGLES, HUBS, ORDERS = 4_000_000, 32, 3
+#: Sets that a task holds at once.
+BLOCK_SETS = 10_000
 #: Family members up to this number are broadcast to the texts (a few words each); more are joined by shuffling.
 BROADCAST_MEMBERS = 500_000
 
@@ -81,7 +83,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """id, n_shingles, f1, f2, sig of every row."""
+    """id, n_shingles, f1, f2, sig, t1, t2 of every row; t1 and t2 tell texts apart."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +93,14 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 marks = [fingerprint(x) if len(x) else (0, 0) for x in sets]
                 sigs = [signature(x).tobytes() if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [s.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "f1", "f2", "sig"]
+                    [s.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(sigs, pa.binary()), s.column(2), s.column(3)], names=["id", "n_shingles", "f1", "f2", "sig", "t1", "t2"]
                 )
 
-    return docs.select("id", "text").mapInArrow(part, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary")
+    return docs.select("id", "text", *_text_marks("text")).mapInArrow(part, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, t1 bigint, t2 bigint")
+
+
+def _text_marks(text: str) -> list:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
 
 
 def _forest(nodes: DataFrame) -> DataFrame:
@@ -330,9 +336,14 @@ def _confirmed(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(part, "a bigint, b bigint")
 
 
+def _load(n: str, limit: int):
+    """What a set of n shingles costs its task: many small sets cost by their number, for each is compared with the others."""
+    return F.greatest(F.col(n), F.lit(limit // BLOCK_SETS))
+
+
 def _dealt(members: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """members with their piece, and whether any family had to be cut. Families beyond the limit are dealt ORDERS times: by one minimum, which near texts mostly share, and where that leaves too much together, by hash; their most central nodes go to every piece."""
-    total = members.groupBy("family").agg(F.sum("n").alias("t"))
+    total = members.groupBy("family").agg(F.sum(_load("n", limit)).alias("t"))
     large = written(total.where(F.col("t") > limit), "large-families")
     if not large.head(1):
         return members.withColumn("piece", F.lit(0)), False
@@ -344,7 +355,7 @@ def _dealt(members: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     for k in range(ORDERS):
         x = big.withColumn("coarse", F.xxhash64(word(k * DEPTH))).withColumn("order", F.lit(k))
         runs = x if runs is None else runs.unionByName(x)
-    load = runs.groupBy("family", "order", "coarse").agg(F.sum("n").alias("load"))
+    load = runs.groupBy("family", "order", "coarse").agg(F.sum(_load("n", limit)).alias("load"))
     runs = runs.join(load, ["family", "order", "coarse"])
     fine = F.when(F.col("load") > limit / 2, F.pmod(F.xxhash64("node", "order"), parts)).otherwise(F.pmod("coarse", parts))
     runs = runs.withColumn("piece", (F.col("order") * parts + fine).cast("int"))
@@ -384,13 +395,13 @@ def _completed(docs: DataFrame, members: DataFrame, found: DataFrame, rule: Rule
     near = components(found).withColumnRenamed("root", "linked_to")
     cut = members.groupBy("family").agg(F.max("piece").alias("most")).where("most > 0").select("family")
     rows = members.join(cut, "family", "left_semi").select("node", "id", "f1", "f2", "n", "family").dropDuplicates(["node"]).join(near, "node", "left")
-    rows = written(rows.select("node", "id", "f1", "f2", F.col("n").alias("w"), "family", F.coalesce("linked_to", "node").alias("root")), "cut-families")
+    rows = written(rows.select("node", "id", "f1", "f2", _load("n", limit).alias("w"), "family", F.coalesce("linked_to", "node").alias("root")), "cut-families")
     met = _blocks(rows, ["family"], limit).select("node", "id", "f1", "f2", "family", F.col("block").alias("piece"))
     return found.unionByName(written(_confirmed(docs, met, rule), "late-links"))
 
 
 def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, and node, equal for rows with equal sets (null: no shingles)."""
+    """Per row: doc_id, n_shingles, component_id, root, equal for the rows of a component (null: no shingles), and the marks t1 and t2 of its text."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
     rows = written(_sets(plain, rule), "shingle-sets")
     nodes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
@@ -404,10 +415,10 @@ def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     named = nodes.select("node", "f1", "f2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "roots")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("f1", "f2", "node", "component_id")
+    named = named.join(names, "root").select("f1", "f2", "root", "component_id")
     own = F.when(F.col("id") != _NO_ID, F.col("id"))
-    out = rows.select(own.alias("doc_id"), "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    out = rows.select(own.alias("doc_id"), "n_shingles", "f1", "f2", "t1", "t2").join(named, ["f1", "f2"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root", "t1", "t2")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,6 +428,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
-    """docs without the near copies: of each component the row with the least id stays. Rows without words stay."""
-    drop = groups(docs, rule).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """docs without the near copies: of each component one row stays, with the least id (null last), then the least mark of its text. Of rows that agree in id and text any one stays. Rows without words all stay. Ids needn't be unique: rows are told apart by id and text."""
+    plain = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))).select("*", *[m.alias(f"_{m_}") for m, m_ in zip(_text_marks("text"), ("t1", "t2"), strict=True)])
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    rows = groups(docs, rule).where("root is not null").withColumn("key", key)
+    counts = written(rows.groupBy("root", "key").agg(F.count("*").alias("n")), "texts")
+    least = counts.groupBy("root").agg(F.min("key").alias("least"))
+    again = F.col("key") == F.col("least")
+    verdict = counts.join(least, "root").where(~again | (F.col("n") > 1)).select(F.coalesce(F.col("key.doc_id"), F.lit(_NO_ID)).alias("_id"), F.col("key.t1").alias("_t1"), F.col("key.t2").alias("_t2"), again.alias("_again"))
+    keys = ["_id", "_t1", "_t2"]
+    whole = plain.join(written(verdict, "copies"), keys, "left")
+    once = whole.where("_again").dropDuplicates(keys)  # a row for each repeated row that stays
+    return whole.where("_again is null").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

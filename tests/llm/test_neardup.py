@@ -64,7 +64,7 @@ def corpus(seed=1, spokes=80):
 @pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 10**7), (5, 80, 10**7), (3, 85, 9000)])
 def test_equals_brute_force(spark, k, percent, block):
     rows = corpus()
-    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id bigint, text string, node int, f1 string").repartition(5)
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id bigint, text string, node int, t1 string").repartition(5)
     got = neardup.groups(docs, neardup.Rule(k, percent), block_shingles=block).collect()
     found = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, (r.component_id is None, r.component_id or 0)) for r in got)
     assert found == brute(rows, k, percent)
@@ -81,6 +81,16 @@ def test_distinct_texts_keeps_one_of_each(spark):
     assert sorted(r.doc_id for r in neardup.distinct_texts(docs).collect()) == [3, 7, 8, 9]
 
 
+def test_distinct_texts_goes_by_row(spark):
+    """A unique text that shares its id with a copy stays; of repeated rows one stays; copies without an id go."""
+    copy, other = "a b c d e f", "k l m n o p q"
+    rows = [(1, copy, "u"), (3, copy, "v"), (3, other, "w"), (4, "r s t u v w", "x"), (4, "r s t u v w", "x"), (None, copy, "y"), (None, "x1 x2 x3 x4 x5 x6", "z"), (None, "x1 x2 x3 x4 x5 x6", "z"), (5, None, "z"), (5, None, "z"), (6, " ", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, t1 string").repartition(4)
+    got = neardup.distinct_texts(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, copy), (3, other), (4, "r s t u v w"), (0, "x1 x2 x3 x4 x5 x6"), (5, ""), (5, ""), (6, " ")])
+
+
 def test_linked_takes_both_ways():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 60, 400, dtype=np.uint64)
