@@ -1,13 +1,15 @@
 """Sharding by histogram sort, with DataFrame functions only.
 
-The sort key of a row is (hash of its text, id), so equal texts are neighbours. The driver holds a few candidate
-boundaries; each pass counts the exact bytes below every candidate across all partitions and narrows the candidates
-around the byte targets, until each boundary is within the tolerance or no key lies between two candidates. Then the
-rows are exchanged once, by range over (shard, key, id). A group of equal texts is cut only where its own bytes
-exceed the tolerance around a target, first by hash, then by id inside the one hash, so a hot group fills several shards.
-
-Defined results: a null text has no bytes, crc32 0 and the size 16; rows that agree in id and text are ties and stay
-in one shard; a null id sorts first; an empty table gives an empty result; other columns of the input are ignored.
+The sort key of a row is (hash of its text, hash of its id and row number), so equal texts are neighbours. The driver holds
+a few candidate boundaries; each pass counts the exact bytes below every candidate across all partitions and narrows the
+candidates around the byte targets, until each boundary is within the tolerance or no key lies between two candidates. Then
+the rows are exchanged once, by range over (shard, key). A group of equal texts is cut only where its own bytes exceed the
+tolerance around a target, first by the hash of the text, then inside it by the hash of the row, so a hot group fills several
+shards, even one whose rows agree in id and text.
+
+Defined results: a null text has no bytes, crc32 0 and the size 16; a very long text is one row of its size, and its shard
+is larger by what it exceeds the mean; ids may be null or repeat; an empty table gives an empty result; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ CELL_BITS = 10
 
 @dataclass
 class _Interval:
-    """Rows with lo <= (key or id) < hi; in the id dimension key is the one hash that holds them. below: exact bytes before."""
+    """Rows with lo <= (key or row hash) < hi; in the dimension of row hashes key is the one hash of a text that they share. below: exact bytes before."""
 
     lo: int
     hi: int
@@ -48,20 +50,24 @@ class _Interval:
         return F.shiftright(v, self.shift) - F.lit(self.lo >> self.shift)
 
 
+def _row_key(id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.monotonically_increasing_id()).alias("_id")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, size, crc32 of the text, and the sort key; no text."""
+    """Per row: id, size, crc32 of the text, and the sort key; no text. The key holds a row number, so write it before reading it twice."""
     text = F.col(text_col)
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("_key"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_MIN)).alias("_id"),
+        _row_key(id_col),
     )
 
 
 def splitters(rows: DataFrame, n_shards: int, tolerance: float = 0.005) -> list[tuple[int, int]]:
-    """Boundaries (key, id): rows at or above the k-th boundary belong to shard k + 1 or later."""
+    """Boundaries (key, row hash): rows at or above the k-th boundary belong to shard k + 1 or later."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = [total * k // n_shards for k in range(1, n_shards)]
     slack = tolerance * total / n_shards
@@ -149,7 +155,7 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, tolerance: floa
     """All columns of docs in folders shard=0, shard=1, ... below path, each sorted by key; returns the boundaries."""
     rows = written(keyed(docs, id_col, text_col), "shard-keys")
     bounds = splitters(rows, n_shards, tolerance)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("_key"), F.coalesce(F.col(id_col).cast("long"), F.lit(_MIN)).alias("_id"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("_key"), _row_key(id_col))
     whole.withColumn("shard", shard_of(bounds)).repartitionByRange("shard", "_key", "_id").sortWithinPartitions("shard", "_key", "_id").select("row.*", "shard").write.partitionBy("shard").parquet(path)
     return bounds
 
