@@ -3,7 +3,8 @@
 A text is the average of the embeddings of its byte trigrams and four-grams (A-Z folded, word ends included), hashed into
 BUCKETS rows; a linear layer and a softmax follow. The model is fitted on a bounded, hash-drawn sample with about equal
 shares for the languages; a second sample sets the temperature and the score below which a prediction is rejected. Whole
-texts are read everywhere. Inputs of a prediction are the text's bytes and nothing else.
+texts are read everywhere. Inputs of a prediction are the text's bytes and nothing else. Any number of languages can be
+learned; the driver holds the sample's grams and one bias and DIM weights a language.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected; where nothing can be learned every
 text is `und`; ties between languages go to the first in order of name; rows are judged alone, so repeated rows agree and
@@ -25,8 +26,8 @@ from .textkit import LOWER, SEPARATOR, utf8
 
 BUCKETS = 1 << 15
 DIM = 16
-#: Documents to fit on and to calibrate on, at most about, over all languages; and languages, the most frequent first.
-SAMPLE, CALIBRATION, LANGUAGES = 2400, 2400, 200
+#: Documents to fit on and to calibrate on, at most about, over all languages; each language has one at least.
+SAMPLE, CALIBRATION = 2400, 2400
 
 #: No prediction with a higher calibrated score is rejected.
 MOST_REJECTED = 0.4
@@ -72,21 +73,22 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: embedding times linear layer
+    table: np.ndarray  # BUCKETS rows: embeddings, or with few languages embeddings times the linear layer
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    linear: np.ndarray | None = None  # where the table holds embeddings
 
     def logits(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         a, b = grams(buf, off)
-        out = np.zeros((len(off) - 1, len(self.languages)))
+        out = np.zeros((len(off) - 1, self.table.shape[1]))
         full = np.flatnonzero(off[:-1] < off[1:])
         if len(full):
-            for k in range(len(self.languages)):
+            for k in range(out.shape[1]):
                 col = np.ascontiguousarray(self.table[:, k])
                 out[full, k] = np.add.reduceat(col[a] + col[b], off[:-1][full], dtype=np.float64)
             out[full] /= 2.0 * (off[1:] - off[:-1])[full, None]
-        return out + self.bias
+        return (out if self.linear is None else out @ self.linear) + self.bias
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
@@ -107,15 +109,12 @@ class Model:
 def _sampled(docs: DataFrame, want: int, lang_col: str, salt: int) -> DataFrame:
     """About `want` rows with text and language, about as many of each language, drawn by hash of the row's id."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
-    if not counts:
-        return known.limit(0)
-    share = F.lit(None).cast("double")
-    quota = max(1, want // len(counts))
-    for r in counts:
-        share = F.when(F.col(lang_col) == r[0], min(1.0, quota / r[1])).otherwise(share)
+    counts = known.groupBy(lang_col).count()
+    languages = counts.count()
+    quota = max(1.0, want / max(languages, 1))
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(salt)), F.lit(1 << 30)) / (1 << 30)
-    return known.where(u < share).limit(2 * want)
+    # A row for each language.
+    return known.join(F.broadcast(counts.withColumn("_share", F.lit(quota) / F.col("count")).drop("count")), lang_col).where(u < F.col("_share")).drop("_share")
 
 
 def _bags(sample: DataFrame, lang_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -158,7 +157,8 @@ def train(docs: DataFrame, lang_col: str = "lang", epochs: int = 6, rate: float
     emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     lin, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     lin += rng.standard_normal(lin.shape).astype(np.float32) * 0.1
-    y = np.array([names.index(b[0]) for b in bags])
+    number = {x: i for i, x in enumerate(names)}
+    y = np.array([number[b[0]] for b in bags])
     seen_e, seen_l, seen_b = np.full(BUCKETS, 1e-6, np.float32), 1e-6, 1e-6  # AdaGrad sums
     for _ in range(epochs):
         order = rng.permutation(len(bags))
@@ -181,7 +181,8 @@ def train(docs: DataFrame, lang_col: str = "lang", epochs: int = 6, rate: float
             emb -= rate * ge / np.sqrt(seen_e)[:, None]
             lin -= rate * 0.2 * gl / np.sqrt(seen_l)
             bias -= rate * 0.05 * gb / np.sqrt(seen_b)
-    model = Model(names, emb @ lin, bias.astype(np.float64))
+    few = len(names) <= DIM
+    model = Model(names, emb @ lin if few else emb, bias.astype(np.float64), linear=None if few else lin)
     del bags, seen_e, emb  # the driver holds one sample at a time
     return _calibrated(model, _bags(_sampled(docs.where(half == 1), CALIBRATION, lang_col, 2), lang_col))
 
@@ -191,7 +192,8 @@ def _calibrated(model: Model, bags) -> Model:
     bags = [b for b in bags if b[0] in model.languages]
     if len(bags) < 20:
         return model
-    z = np.array([(model.table[k] * w[:, None]).sum(axis=0) + model.bias for _, k, w in bags], np.float64)
+    z = np.array([(model.table[k] * w[:, None]).sum(axis=0) for _, k, w in bags], np.float64)
+    z = (z if model.linear is None else z @ model.linear) + model.bias
     y = np.array([model.languages.index(b[0]) for b in bags])
 
     def probs(t: float) -> np.ndarray:
