@@ -1,25 +1,38 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are words (A-Z folded) and one end for each text. The SYMBOLS - SURFACES most frequent tokens are symbols of their
-own; every other token belongs to one of SURFACES classes by its last bytes. The model predicts a symbol from the two before
-it: P(symbol) = P(class) * P(symbol | class), both softmax over weights of hashed features: a bias, the bigram, the trigram
-and the skip bigram that leaves one token out. A token that is no symbol has, within its surface class, its smoothed share of
-the class. An unseen token is one more type in its class.
-
-Training is distributed: the counts of (context, symbol) over all training texts are the model's sufficient statistics; they
-are dealt out by context, every shard takes gradient steps on its part, and after each round the shards' weights are averaged
-feature by feature, by how often each saw the feature.
-
-Counts cover all training texts. The most frequent HEAD tokens are broadcast (a fixed number); counts of the others are
-joined by shuffling, so the vocabulary may outgrow every executor. Tokens are told apart by 64-bit hashes.
+Tokens are words (A-Z folded) and one end for each text. A token is predicted in three factors:
+
+1. Its class: the 96 most frequent tokens are classes of their own, every other token belongs to one of 32 classes by its
+   last bytes. P(class | the two classes before) is a softmax over 16 x 8, with weights of hashed features: a bias, the
+   bigram, the trigram and the skip bigram that leaves one token out. The counts of (context, class) are its sufficient
+   statistics, a bounded table; shards by context take gradient steps on their parts, and after each round their weights are
+   averaged feature by feature, by how often each saw the feature.
+2. The target within its class: each of the HEAD most frequent tokens, or one of up to 16,384 hashed groups of the others.
+   Features are pairs (token before, target) of all tokens, hashed to 64 bits, that occur at least twice in training. Their
+   number grows with the corpus. With features f the probability of a target is that of factor 1, times its share of its
+   class, times exp(weight) and divided by the sum of the same over all targets, so it stays a distribution. A context's
+   weights depend on that context alone, so the tasks that hold its counts take the gradient steps (with an L1 penalty).
+   The targets of a context that is more frequent than PART tokens fall into parts by hash, each normalised by itself, so
+   no context's pairs outgrow a task.
+3. The token within a hashed group: its smoothed share. An unseen token is one more type of its group.
+
+The features of factor 2 are too many for one machine, so they are exchanged in batches: each batch of texts sends the
+sorted distinct hashes of its pairs and rare tokens, cut into ranges of hashes, with their counts in training. A range adds
+up the counts, trains its contexts and answers each batch with the weights of just the pairs it sent and what it needs to
+normalise them. The batch, met again with its answers, is scored with sparse numpy arrays.
+
+Counts cover all training texts. Tokens are told apart by 64-bit hashes.
 
 Defined results: a null or wordless text is the end alone; a null id counts as the empty text when texts are dealt into
-training and held out; repeated rows are scored one by one; without training texts N and V are 0, nothing is known and every
-token has the same probability; an empty table gives an empty result; other columns are ignored.
+training and held out; repeated rows are scored one by one; a very long text is a batch of its own; without training texts N
+and V are 0, nothing is known and every token has the same base probability; an empty table gives an empty result; other
+columns are ignored. Texts are read several times: a table that gives other rows or another order each time is an error,
+write it first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, mod_of_id, slices, written
-from .textkit import mix, word_hashes
+from .textkit import mix, utf8, word_hashes
 
 SYMBOLS, SURFACES, CLASSES = 128, 32, 16
-HEAD = 1 << 18
+#: Targets that are tokens of their own at most, and hashed groups of a class at most (by bits).
+HEAD, GROUP_BITS = (1 << 18) - (1 << 14), 9
+_TARGET_BITS = 18
 BUCKETS = 1 << 12
 ROUNDS, STEPS, SHARDS = 4, 40, 4
 #: The end of a text, as a token.
@@ -40,6 +55,10 @@ END = np.uint64(0x0123456789ABCDEF)
 _BITS = SYMBOLS.bit_length() - 1
 #: Words of a partition whose counts are held before they are passed on.
 _HELD = 1_000_000
+#: Text of a batch; pairs of a range, about; occurrences of a context beyond which its targets fall into parts.
+BATCH_BYTES, RANGE_PAIRS, PART = 4 << 20, 1_500_000, 1 << 22
+#: A pair is a feature from so many occurrences on; its weight is the maximum-likelihood one under this L1 penalty.
+LEAST, PENALTY = 2, 0.75
 
 
 @dataclass
@@ -130,6 +149,11 @@ def gradient_steps(weights: np.ndarray, context: np.ndarray, counts: np.ndarray,
     by_class = counts.reshape(-1, CLASSES, _PER).sum(axis=2)
     n = by_class.sum(axis=1)
     seen = np.full((BUCKETS, 1), 1e-10)
+    runs = []  # of each feature: contexts in order of bucket, first of each bucket, buckets
+    for k in range(f.shape[1]):
+        order = np.argsort(f[:, k], kind="stable")
+        own, first = np.unique(f[order, k], return_index=True)
+        runs.append((order, first, own))
     for _ in range(steps):
         z = w[f].sum(axis=1)
         a, b = z[:, :CLASSES], z[:, CLASSES:].reshape(-1, CLASSES, _PER)
@@ -139,8 +163,8 @@ def gradient_steps(weights: np.ndarray, context: np.ndarray, counts: np.ndarray,
         pb /= pb.sum(axis=2, keepdims=True)
         g = np.concatenate([n[:, None] * pa_ - by_class, (by_class[:, :, None] * pb).reshape(-1, SYMBOLS) - counts], axis=1) / total
         grad = np.zeros_like(w)
-        for k in range(f.shape[1]):
-            np.add.at(grad, f[:, k], g)
+        for order, first, own in runs:
+            grad[own] += np.add.reduceat(g[order], first, axis=0)
         grad += ridge * w
         seen += (grad * grad).mean(axis=1, keepdims=True)
         w -= rate * grad / np.sqrt(seen)
@@ -194,92 +218,306 @@ def _statistics(training: DataFrame, head, end: int) -> DataFrame:
     return training.select("text").mapInArrow(part, "context int, symbol int, n bigint").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
+def _round(shared):
+    def steps(table: pa.Table) -> pa.Table:
+        context, symbol, n = (table.column(c).to_numpy() for c in ("context", "symbol", "n"))
+        own, at = np.unique(context, return_inverse=True)
+        counts = np.zeros((len(own), SYMBOLS))
+        np.add.at(counts, (at, symbol), n)
+        w = gradient_steps(shared.value, own, counts, STEPS)
+        seen = np.zeros(BUCKETS)
+        np.add.at(seen, feature_ids(own).reshape(-1), np.repeat(counts.sum(axis=1), 4))
+        k = np.flatnonzero(seen)
+        shard = np.full(len(k), table.column("shard")[0].as_py(), np.int32)
+        return pa.table({"shard": shard, "k": k.astype(np.int32), "n": seen[k], "w": pa.array([r.astype("<f4").tobytes() for r in w[k]], pa.binary())})
+
+    return steps
+
+
 def _train(stats: DataFrame, rounds: int = ROUNDS, shards: int = SHARDS) -> np.ndarray:
-    """Weights. stats: a written table. A round's answer has a row for each feature that a shard saw; features and shards are bounded."""
+    """Weights of factor 1. stats: a written table. The shard is a function of the context, so the result doesn't depend on the cluster. A round's answer has a row for each feature that a shard saw; features and shards are bounded."""
     spark = stats.sparkSession
     width = CLASSES + SYMBOLS
-    dealt = written(stats.repartition(shards, "context"), "maxent-shards")
+    dealt = stats.withColumn("shard", F.pmod(F.xxhash64("context"), F.lit(shards)).cast("int")).repartition(8 * shards, "shard")
     weights = np.zeros((BUCKETS, width), np.float32)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
-        def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            x = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-            if not x:
-                return
-            context, symbol, n = (np.concatenate(v) for v in zip(*x, strict=True))
-            own, at = np.unique(context, return_inverse=True)
-            counts = np.zeros((len(own), SYMBOLS))
-            np.add.at(counts, (at, symbol), n)
-            w = gradient_steps(shared.value, own, counts, STEPS)
-            seen = np.zeros(BUCKETS)
-            np.add.at(seen, feature_ids(own).reshape(-1), np.repeat(counts.sum(axis=1), 4))
-            k = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(seen[k]), pa.array([r.astype("<f4").tobytes() for r in w[k]], pa.binary())], names=["k", "n", "w"])
-
-        rows = dealt.mapInArrow(part, "k int, n double, w binary").toArrow()
+        rows = dealt.groupBy("shard").applyInArrow(_round(shared), "shard int, k int, n double, w binary").toArrow().sort_by([("k", "ascending"), ("shard", "ascending")])
         k, n = rows.column("k").to_numpy(), rows.column("n").to_numpy()
         if not len(k):
             return weights
         w = np.frombuffer(b"".join(rows.column("w").to_pylist()), "<f4").reshape(-1, width)
-        order = np.lexsort((n, k))
         total, mass = np.zeros((BUCKETS, width)), np.zeros(BUCKETS)
-        np.add.at(total, k[order], w[order] * n[order, None])
-        np.add.at(mass, k[order], n[order])
+        np.add.at(total, k, w * n[:, None])
+        np.add.at(mass, k, n)
         weights = np.where(mass[:, None] > 0, total / np.maximum(mass, 1)[:, None], weights).astype(np.float32)
     return weights
 
 
-def _partial(docs: DataFrame, shared, held_out) -> DataFrame:
-    """A row for each text with what its head tokens give (h: a number of its own), and one for each of its other tokens."""
-    schema = "row bigint, doc_id bigint, held_out boolean, h bigint, n bigint, surface int, n_tokens bigint, n_known bigint, base double, score double"
+@dataclass
+class Model:
+    """What every task needs. Targets: head tokens by place, then the hashed groups. p: P(class | two classes before). levels: how many bits of parts the contexts of each head token have; q_parts: by that number, the share of each class's targets in each part."""
+
+    head: Head
+    end: int
+    group_bits: int
+    sigma: np.ndarray  # class of each target
+    q: np.ndarray  # its share of the class
+    mass: np.ndarray  # of each hashed group
+    levels: np.ndarray
+    q_parts: dict[int, np.ndarray]
+    range_bits: int
+    p: np.ndarray | None = None
+    p1: np.ndarray | None = None  # P(class | class before)
+
+    @property
+    def first_group(self) -> int:
+        return len(self.head.h)
+
+    def hot(self, names: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(bits of parts, part, its place in `names`) of the contexts in parts among ascending `names`."""
+        for k in np.flatnonzero(self.levels).tolist():
+            level = int(self.levels[k])
+            part = np.arange(1 << level)
+            ctx = self.context_hash(np.full(len(part), self.head.h[k]), np.full(len(part), level), part) >> np.uint64(25) << np.uint64(7) | np.uint64(self.head.symbol[k])
+            at = np.minimum(np.searchsorted(names, ctx), max(len(names) - 1, 0))
+            for i in np.flatnonzero(names[at] == ctx).tolist():
+                yield level, int(part[i]), at[i]
+
+    @staticmethod
+    def context_hash(before: np.ndarray, level: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return mix(before + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def seen(self, t: Tokens) -> Seen:
+        u, back = np.unique(t.h, return_inverse=True)
+        at, hit = self.head.find(u)
+        at, hit = at[back], hit[back]
+        group = t.surface.astype(np.int64) << self.group_bits | (mix(t.h) & np.uint64((1 << self.group_bits) - 1)).astype(np.int64)
+        y = np.where(hit, at, self.first_group + group)
+        before = np.empty_like(t.h)
+        before[1:] = t.h[:-1]
+        before[t.first[:-1]] = END
+        context = contexts(self.sigma[y], t.first, self.end)
+        level = np.zeros(len(y), np.int64)
+        if self.levels.any():
+            place, known = self.head.find(before)
+            level = np.where(known, self.levels[place], 0)
+        part = part_of(y, level)
+        ctx = self.context_hash(before, level, part)
+        key = (ctx >> np.uint64(25)) << np.uint64(25) | (context & (SYMBOLS - 1)).astype(np.uint64) << np.uint64(_TARGET_BITS) | y.astype(np.uint64)
+        return Seen(y, hit, at, context, key, level, part)
+
+
+@dataclass
+class Seen:
+    """Of each token: target, whether and where it is in the head, classes before, key of the pair, parts of the context (bits) and the target's."""
+
+    y: np.ndarray
+    hit: np.ndarray
+    at: np.ndarray
+    context: np.ndarray
+    key: np.ndarray
+    level: np.ndarray
+    part: np.ndarray
+
+
+def part_of(y: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Part of a target in a context with 2 ** level parts."""
+    return (mix(y.astype(np.uint64) + np.uint64(0xA5A5)) & ((np.uint64(1) << level.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+
+
+def pair_weights(ctx: np.ndarray, n: np.ndarray, base: np.ndarray, total: np.ndarray, steps: int = 12) -> np.ndarray:
+    """Weights of features. ctx: number of each feature's context, ascending; n: its count; base: its probability without features; total: count of each context. Newton steps on the log likelihood less PENALTY * weight, whose curvature within a context is a diagonal less an outer product."""
+    goal = np.maximum(n - PENALTY, 1e-9)
+    w = np.maximum(np.log(goal / (total[ctx] * base)), 0.0)
+    for _ in range(steps):
+        tilted = base * np.exp(w)
+        z = 1.0 + np.bincount(ctx, tilted - base, len(total))
+        p = tilted / z[ctx]
+        slope = goal - total[ctx] * p
+        free = (w > 0) | (slope > 0)
+        rest = np.maximum(1.0 - np.bincount(ctx, p * free, len(total)), 1e-6)
+        together = np.bincount(ctx, slope * free, len(total)) / (np.maximum(total, 1) * rest)
+        w = np.where(free, np.maximum(w + np.clip(slope / (total[ctx] * p) + together[ctx], -2.0, 2.0), 0.0), 0.0)
+    return w
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as compressed differences, byte by byte of all."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _opened(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, np.dtype(kind).itemsize * n, codec="zstd", asbytes=True), kind)
+
+
+def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranges that hold some of the ascending keys, first key of each and the end)."""
+    r = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    at = np.flatnonzero(np.diff(r, prepend=r[:1] + np.uint64(1))) if len(r) else np.zeros(0, np.int64)
+    return r[at].astype(np.int64), np.append(at, len(keys))
+
+
+def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
+    """make(number of the batch, batch of doc_id, held_out, text) -> record batches. The number is a function of the partition, the place in it and the content."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 40
-        head, table, log_base, log_own, end = shared.value
+        k = TaskContext.get().partitionId() << 20
         for batch in batches:
-            for s in slices(batch, 2):
-                t = tokens(s.column(2))
-                m = s.num_rows
-                doc = np.repeat(np.arange(m), np.diff(t.first))
-                u, back = np.unique(t.h, return_inverse=True)
-                at, hit = head.find(u)
-                at, hit = at[back], hit[back]
-                y = np.where(hit, head.symbol[at] if len(head.h) else 0, t.surface + (SYMBOLS - SURFACES))
-                lp = table[contexts(y, t.first, end), y]
-                add = lambda x: np.add.reduceat(x, t.first[:-1])  # noqa: E731  every text has a token
-                base = add(np.where(hit, log_base[at], 0.0) if len(log_base) else np.zeros(len(y)))
-                score = add(lp + (np.where(hit, log_own[at], 0.0) if len(log_own) else 0.0))
-                ids = np.arange(row, row + m)
-                rest = np.flatnonzero(~hit)
-                key = mix(t.h[rest] + doc[rest].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                _, where, n = np.unique(key, return_index=True, return_counts=True)
-                d, other = doc[rest][where], t.h[rest][where]
-                k = len(d)
-                none, zero = [None] * k, np.zeros(k)
-                take = s.column(0).take(pa.array(d))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([ids, ids[d]])), pa.concat_arrays([s.column(0), take]), pa.concat_arrays([s.column(1), s.column(1).take(pa.array(d))]),
-                        pa.array(np.concatenate([mix(ids.astype(np.uint64) + np.uint64(0xABCDEF) * END).view(np.int64), other.view(np.int64)])), pa.array(np.concatenate([np.zeros(m, np.int64), n])),
-                        pa.array(np.concatenate([np.zeros(m, np.int32), t.surface[rest][where].astype(np.int32)])),
-                        pa.array(np.concatenate([np.diff(t.first), np.zeros(k, np.int64)])), pa.array(np.concatenate([add(hit.astype(np.int64)), np.zeros(k, np.int64)])),
-                        pa.array(np.concatenate([base, zero])), pa.array(np.concatenate([score, zero])),
-                    ],
-                    names=[c.split()[0] for c in schema.split(", ")],
-                )
-                row += m
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(part, schema)
-
-
-def scored(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
-    """docs: doc_id, text. held_out: a column, true for texts that aren't learned from. Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    training = docs.where(~held_out)
-    vocabulary = written(_vocabulary(training), "vocabulary")
+            for s in slices(batch, 2, BATCH_BYTES):
+                buf, off = utf8(s.column(2))
+                mark = hashlib.blake2b(buf, digest_size=8)
+                mark.update(off)
+                mark.update(np.asarray(s.column(0).fill_null(-1)))
+                mark.update(k.to_bytes(8, "little"))
+                k += 1
+                yield from make(int.from_bytes(mark.digest(), "little", signed=True), s)
+
+    return docs.mapInArrow(part, schema)
+
+
+_SENT = "batch bigint, kind int, range bigint, n int, keys binary, counts binary"
+_ANSWERED = "batch bigint, kind int, range bigint, n int, values binary, contexts int, edges int, at binary, class binary, g binary"
+PAIRS, WORDS = 0, 1
+
+
+def _sent(docs: DataFrame, shared) -> DataFrame:
+    """The pairs and the rare tokens of every batch, a row for each range that holds some: keys, and how often they occur in training."""
+    names = [c.split()[0] for c in _SENT.split(", ")]
+
+    def make(number: int, s: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        t = tokens(s.column(2))
+        x = model.seen(t)
+        learned = np.repeat(~s.column(1).to_numpy(zero_copy_only=False), np.diff(t.first))
+        rows: list[tuple] = []
+        for kind, key, use in ((PAIRS, x.key, learned), (WORDS, t.h[~x.hit], learned[~x.hit])):
+            u, back = np.unique(key, return_inverse=True)
+            n = np.bincount(back, use, len(u)).astype("<u4")
+            r, at = _ranges(u, model.range_bits)
+            rows += [(number, kind, k, b - a, _packed(u[a:b]), _small(n[a:b])) for k, a, b in zip(r.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+    return _batches(docs, make, _SENT)
+
+
+def _answered(sent: DataFrame, shared) -> DataFrame:
+    """For each row of _sent what its batch needs: for rare tokens their counts, for pairs the weights, and for the contexts that have features, by class, what these add to the class's mass."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        model = shared.value
+        kind = table.column("kind")[0].as_py()
+        sizes = table.column("n").to_pylist()
+        keys = [_unpacked(k, n) for k, n in zip(table.column("keys").to_pylist(), sizes, strict=True)]
+        counts = np.concatenate([_opened(c, "<u4", n) for c, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
+        u, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, counts, len(u)).astype(np.int64)
+        none = [b""] * len(sizes)
+        out = {"batch": table.column("batch"), "kind": table.column("kind"), "range": table.column("range"), "n": table.column("n")}
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        mine = [back[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if kind == WORDS:
+            values = [_small(n[i].astype("<u4")) for i in mine]
+            zero = np.zeros(len(sizes), np.int32)
+            return pa.table({**out, "values": pa.array(values, pa.binary()), "contexts": zero, "edges": zero, "at": pa.array(none, pa.binary()), "class": pa.array(none, pa.binary()), "g": pa.array(none, pa.binary())})
+        names, ctx = np.unique(u >> np.uint64(_TARGET_BITS), return_inverse=True)
+        total = np.bincount(ctx, n, len(names))
+        y = (u & np.uint64((1 << _TARGET_BITS) - 1)).astype(np.int64)
+        before = (names & np.uint64(SYMBOLS - 1)).astype(np.int64)
+        f = np.flatnonzero(n >= LEAST)
+        share = np.ones(len(names))
+        for level, part, at in model.hot(names):
+            share[at] = model.p1[before[at]] @ model.q_parts[level][part]
+        base = model.p1[before[ctx[f]], model.sigma[y[f]]] * model.q[y[f]] / share[ctx[f]]
+        weight = np.zeros(len(u), "<f2")
+        weight[f] = pair_weights(ctx[f], n[f].astype(float), np.maximum(base, 1e-300), total)
+        f = f[weight[f] > 0]
+        # One entry for each context and class with features.
+        edge, which = np.unique(ctx[f] * SYMBOLS + model.sigma[y[f]], return_inverse=True)
+        g = np.bincount(which, model.q[y[f]] * np.expm1(weight[f].astype(np.float64)), len(edge))
+        edge_ctx, first = edge // SYMBOLS, np.searchsorted(edge // SYMBOLS, np.arange(len(names) + 1))
+        values, contexts_, edges, at_, class_, g_ = [], [], [], [], [], []
+        for i in mine:
+            own = np.unique(ctx[i])
+            size = first[own + 1] - first[own]
+            e = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            values.append(_small(weight[i]))
+            contexts_.append(len(own))
+            edges.append(len(e))
+            at_.append(_small(np.searchsorted(own, edge_ctx[e]).astype("<u4")))
+            class_.append(_small((edge[e] % SYMBOLS).astype(np.uint8)))
+            g_.append(g[e].astype("<f8").tobytes())
+        blobs = lambda x: pa.array(x, pa.binary())
+        return pa.table({**out, "values": blobs(values), "contexts": np.array(contexts_, np.int32), "edges": np.array(edges, np.int32), "at": blobs(at_), "class": blobs(class_), "g": blobs(g_)})
+
+    return sent.groupBy("kind", "range").applyInArrow(answer, _ANSWERED)
+
+
+_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _score(model: Model, space: float, s: pa.RecordBatch, answers: pa.Table) -> pa.Table:
+    """The scores of one batch."""
+    t = tokens(s.column(2))
+    x = model.seen(t)
+    rows = {(r["kind"], r["range"]): r for r in answers.to_pylist()}
+
+    def expected(kind: int, keys: np.ndarray) -> list[dict]:
+        r, at = _ranges(keys, model.range_bits)
+        found = [rows[kind, k] for k in r.tolist()]
+        if [f["n"] for f in found] != np.diff(at).tolist():
+            raise RuntimeError("the texts have changed between two readings")
+        return found
+
+    u, back = np.unique(t.h[~x.hit], return_inverse=True)
+    counts = np.concatenate([_opened(r["values"], "<u4", r["n"]) for r in expected(WORDS, u)] or [np.zeros(0, "<u4")])[back].astype(float)
+    pairs, back = np.unique(x.key, return_inverse=True)
+    found = expected(PAIRS, pairs)
+    weight = np.concatenate([_opened(r["values"], "<f2", r["n"]) for r in found]).astype(float)[back]
+    _, ctx = np.unique(pairs >> np.uint64(_TARGET_BITS), return_inverse=True)
+    before = np.cumsum([0] + [r["contexts"] for r in found])
+    edge_ctx = np.concatenate([_opened(r["at"], "<u4", r["edges"]).astype(np.int64) + b for r, b in zip(found, before[:-1].tolist(), strict=True)])
+    edge_class = np.concatenate([_opened(r["class"], "u1", r["edges"]) for r in found])
+    edge_g = np.concatenate([np.frombuffer(r["g"], "<f8") for r in found])
+    first = np.searchsorted(edge_ctx, np.arange(int(before[-1]) + 1))
+    # Normalisers, one for each context and class before it that occur together.
+    code, which = np.unique(ctx[back] << _BITS | x.context >> _BITS, return_inverse=True)
+    one = np.zeros(len(code), np.int64)
+    one[which] = np.arange(len(which))
+    c, dense = code >> _BITS, x.context[one]
+    size = first[c + 1] - first[c]
+    own = np.repeat(np.arange(len(code)), size)
+    e = np.repeat(first[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    added = np.bincount(own, model.p[dense[own], edge_class[e]] * edge_g[e], len(code))
+    share = np.ones(len(code))
+    for k in np.flatnonzero(x.level[one]).tolist():
+        share[k] = model.p[dense[k]].astype(float) @ model.q_parts[int(x.level[one[k]])][x.part[one[k]]]
+    z = (1.0 + added / share)[which]
+    lp = np.log10(model.p[x.context, model.sigma[x.y]].astype(float) * model.q[x.y] / z) + weight / np.log(10)
+    c = np.zeros(len(x.y))
+    c[x.hit] = model.head.c[x.at[x.hit]]
+    c[~x.hit] = counts
+    lp[~x.hit] += np.log10((counts + 0.5) / model.mass[x.y[~x.hit] - model.first_group])
+    add = lambda v: np.add.reduceat(v, t.first[:-1])  # noqa: E731  every text has a token
+    return pa.table({"doc_id": s.column(0), "held_out": s.column(1), "n_tokens": np.diff(t.first), "n_known": add((c > 0).astype(np.int64)), "base_score": add(np.log10((c + 0.5) / space)), "score": add(lp)})
+
+
+def _model(vocabulary: DataFrame, head_size: int, part: int, range_pairs: int) -> tuple[Model, int, int]:
+    """(targets and their shares, N, V)."""
     big = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(big[0]), int(big[1])
     top = vocabulary.orderBy(F.desc("c"), "h").limit(head_size).toArrow()
@@ -288,40 +526,92 @@ def scored(docs: DataFrame, held_out, head_size: int = HEAD) -> DataFrame:
     own = SYMBOLS - SURFACES
     symbol[:own] = np.arange(min(own, len(symbol)))
     end = int(np.flatnonzero(h == END)[0]) if (h == END).any() else own
-    if own <= end < len(h):  # the end has a symbol of its own whatever its count
+    if own <= end < len(h):  # the end has a class of its own whatever its count
         symbol[end], symbol[own - 1] = own - 1, surface[own - 1] + own
     end = int(symbol[end]) if len(symbol) and (h == END).any() else own - 1
-    # The mass of a surface class: smoothed counts of its tokens that have no symbol, and one unseen type.
-    mass = np.full(SURFACES, 0.5)
-    for r in vocabulary.groupBy("surface").agg((F.sum("c") + 0.5 * F.count("*")).alias("m")).collect():
-        mass[r.surface] += float(r.m)
-    mine = symbol < own
-    np.subtract.at(mass, surface[mine], c[mine] + 0.5)
     order = np.argsort(h)
     head = Head(h[order], c[order], symbol[order])
-    stats = written(_statistics(training, spark.sparkContext.broadcast(head), end), "statistics")
+    group_bits = min(GROUP_BITS, max(0, (v // (SURFACES * 64)).bit_length()))
+    groups = SURFACES << group_bits
+    mass = np.full(groups, 0.5)  # one unseen type
+    # A row for each of at most SURFACES << GROUP_BITS groups; the head's tokens are taken out again.
+    mixed = vocabulary.select("h", "c", "surface").mapInArrow(_grouped(group_bits), "g int, c double").groupBy("g").agg(F.sum("c").alias("c"))
+    for r in mixed.collect():
+        mass[r.g] += r.c
+    mine = surface[order].astype(np.int64) << group_bits | (mix(head.h) & np.uint64((1 << group_bits) - 1)).astype(np.int64)
+    np.subtract.at(mass, mine, head.c + 0.5)
+    mass = np.maximum(mass, 0.5)
+    sigma = np.concatenate([head.symbol, (np.arange(groups) >> group_bits) + own])
+    weight = np.concatenate([head.c + 0.5, mass])
+    whole = np.bincount(sigma, weight, SYMBOLS)
+    q = weight / whole[sigma]
+    levels = np.array([max(0, (int(x) - 1).bit_length() - (part - 1).bit_length()) if x > part else 0 for x in head.c.tolist()], np.int64)
+    q_parts = {}
+    for level in sorted(set(levels[levels > 0].tolist())):
+        of = part_of(np.arange(len(sigma)), np.full(len(sigma), level))
+        q_parts[level] = np.bincount(of << _BITS | sigma, q, SYMBOLS << level).reshape(1 << level, SYMBOLS)
+    range_bits = max(0, (max(n, 1) * 5 // 4 // range_pairs).bit_length())
+    return Model(head, end, group_bits, sigma, q, mass, levels, q_parts, range_bits), n, v
+
+
+def _grouped(bits: int):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SURFACES << bits)
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            g = batch.column("surface").to_numpy().astype(np.int64) << bits | (mix(h.copy()) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            total += np.bincount(g, batch.column("c").to_numpy() + 0.5, len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["g", "c"])
+
+    return part
+
+
+def _class_marginal(stats: DataFrame, p: np.ndarray) -> np.ndarray:
+    """P(class | class before) over the contexts seen in training. stats: at most SYMBOLS ** 2 contexts."""
+    seen = np.full(SYMBOLS**2, 1e-3)
+    for r in stats.groupBy("context").agg(F.sum("n").alias("n")).collect():
+        seen[r.context] += r.n
+    out = np.zeros((SYMBOLS, SYMBOLS))
+    np.add.at(out, np.arange(SYMBOLS**2) & (SYMBOLS - 1), p * seen[:, None])
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def fitted(docs: DataFrame, held_out, head_size: int = HEAD, part: int = PART, range_pairs: int = RANGE_PAIRS) -> tuple[Model, int, int]:
+    """(factor 1 and the targets, N, V) of the texts that may be learned from."""
+    training = docs.where(~held_out)
+    vocabulary = written(_vocabulary(training), "vocabulary")
+    model, n, v = _model(vocabulary, head_size, part, range_pairs)
+    stats = written(_statistics(training, docs.sparkSession.sparkContext.broadcast(model.head), model.end), "statistics")
     weights = _train(stats)
-    table = np.concatenate([log_probabilities(weights, x) for x in np.split(np.arange(SYMBOLS**2), 16)]) / np.log(10)
-    space = n + 0.5 * (v + 1)
-    log_base = np.log10((head.c + 0.5) / space)
-    log_own = np.where(head.symbol < own, 0.0, np.log10((head.c + 0.5) / mass[np.maximum(head.symbol - own, 0)]))
-    shared = spark.sparkContext.broadcast((head, table.astype(np.float32), log_base, log_own, end))
-    rows = _partial(docs, shared, held_out)
-    least = int(head.c.min()) if len(head.h) >= head_size else 0
-    tail = vocabulary.where(F.col("c") <= least).select("h", F.col("c").alias("c")) if least else vocabulary.select("h", "c").limit(0)
-    # Head tokens never get here, so no key of this join is frequent.
-    joined = rows.join(tail, "h", "left")
-    known = F.coalesce(F.col("c"), F.lit(0)) + 0.5
-    masses = F.element_at(F.array(*[F.lit(float(x)) for x in mass]), F.col("surface") + 1)
-    counted = joined.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("n") > 0, F.col("n") * F.log10(known / F.lit(float(space)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(F.col("n") > 0, F.col("n") * F.log10(known / masses)).otherwise(0.0)).alias("score"),
-    )
-    return counted.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    p = np.exp(np.concatenate([log_probabilities(weights, x) for x in np.split(np.arange(SYMBOLS**2), 16)]))
+    model.p, model.p1 = p.astype(np.float32), _class_marginal(stats, p)
+    return model, n, v
+
+
+def scored(docs: DataFrame, held_out, head_size: int = HEAD, part: int = PART, range_pairs: int = RANGE_PAIRS) -> DataFrame:
+    """docs: doc_id, text. held_out: a column, true for texts that aren't learned from. Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
+    model, n, v = fitted(docs, held_out, head_size, part, range_pairs)
+    shared, space = spark.sparkContext.broadcast(model), n + 0.5 * (v + 1)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), "text")
+
+    def whole(number: int, s: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, s.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(s)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "rows"])
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for raw in texts.column("rows").to_pylist():
+            for s in pa.ipc.open_stream(raw):
+                out.append(_score(shared.value, space, s, answers))
+        return pa.concat_tables(out) if out else pa.table({c.split()[0]: [] for c in _SCORES.split(", ")})
+
+    texts = _batches(own, whole, "batch bigint, rows binary").groupBy("batch")
+    rows = texts.cogroup(_answered(_sent(own, shared), shared).groupBy("batch")).applyInArrow(score, _SCORES)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def folded(t):
     return re.findall(WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
 
-@pytest.mark.parametrize("head", [100, 1 << 18])
+@pytest.mark.parametrize("head", [100, maxent.HEAD])
 def test_base_scores(docs, head):
     out = maxent.scored(docs, mod_of_id("doc_id", 5) == 1, head).collect()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1
@@ -55,6 +55,71 @@ def test_base_scores(docs, head):
     assert all(r.train_tokens == n for r in out)
 
 
+@pytest.mark.parametrize(("part", "pairs"), [(maxent.PART, maxent.RANGE_PAIRS), (300, 700)])
+def test_scores_by_brute_force(docs, part, pairs):
+    """Every token's probability by a sum over all targets, in one process; contexts in parts and pairs in many ranges change nothing but the parts."""
+    held = mod_of_id("doc_id", 5) == 1
+    model, n, v = maxent.fitted(docs, held, 60, part, pairs)
+    rows = docs.select("doc_id", "text", held.alias("held")).collect()
+    seen = [(r, maxent.tokens(maxent.pa.array([r.text], maxent.pa.string())), None) for r in rows]
+    seen = [(r, t, model.seen(t)) for r, t, _ in seen]
+    counts, words = collections.Counter(), collections.Counter()
+    for r, t, x in seen:
+        if not r.held:
+            counts.update(x.key.tolist())
+            words.update(t.h.tolist())
+    context = collections.defaultdict(dict)
+    for key, c in counts.items():
+        context[key >> 18][key & (1 << 18) - 1] = c
+    all_y = np.arange(len(model.sigma))
+    tilts = {}
+    want = []
+    for r, t, x in seen:
+        total = 0.0
+        for i in range(len(x.y)):
+            ctx, y = int(x.key[i]) >> 18, int(x.y[i])
+            inside = maxent.part_of(all_y, np.full(len(all_y), x.level[i])) == x.part[i]
+            if ctx not in tilts:
+                f = {k: c for k, c in context.get(ctx, {}).items() if c >= 2}
+                tilt = np.zeros(len(all_y))
+                if f:
+                    base = model.p1[ctx & 127, model.sigma] * model.q * inside
+                    base /= base.sum()
+                    k = np.array(sorted(f))
+                    tilt[k] = maxent.pair_weights(np.zeros(len(k), int), np.array([float(f[a]) for a in sorted(f)]), base[k], np.array([sum(context[ctx].values())])).astype(np.float16)
+                tilts[ctx] = tilt
+            p = model.p[x.context[i]].astype(float)[model.sigma] * model.q
+            own = p * np.exp(tilts[ctx]) * inside
+            assert 0 < p[inside].sum() <= 1 + 1e-5
+            total += math.log10(own[y] / own.sum() * p[inside].sum())
+            if not x.hit[i]:
+                total += math.log10((words[int(t.h[i])] + 0.5) / model.mass[y - model.first_group])
+        want.append((r.doc_id is None, r.doc_id or 0, len(x.y), round(total, 2)))
+    out = maxent.scored(docs, held, 60, part, pairs).collect()
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in out)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) <= 0.02 + 1e-4 * abs(b[3])
+    assert (model.levels.max() > 0) == (part == 300) and (model.range_bits > 0) == (part == 300)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, docs):
+    held = mod_of_id("doc_id", 5) == 1
+    a, b = (sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6)) for r in maxent.scored(x, held).collect()) for x in (docs, docs.repartition(1)))
+    assert a == b
+
+
+def test_pair_weights_meet_their_optimum():
+    """At the optimum the expected count of a feature is its count less the penalty."""
+    rng = np.random.default_rng(5)
+    ctx = np.sort(rng.integers(0, 30, 200))
+    n = rng.integers(2, 40, 200).astype(float)
+    base = rng.random(200) / 1000
+    total = np.bincount(ctx, n, 30) + rng.integers(1, 60, 30)
+    w = maxent.pair_weights(ctx, n, base, total)
+    p = base * np.exp(w) / (1 + np.bincount(ctx, base * np.expm1(w), 30))[ctx]
+    assert np.allclose(total[ctx] * p, n - maxent.PENALTY, rtol=1e-3)
+
+
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
     p = np.exp(maxent.log_probabilities(rng.standard_normal((maxent.BUCKETS, maxent.CLASSES + maxent.SYMBOLS)), np.arange(50)))
