@@ -8,8 +8,8 @@ Tokens are words (A-Z folded) and one end for each text. A token is predicted in
    statistics, a bounded table; shards by context take gradient steps on their parts, and after each round their weights are
    averaged feature by feature, by how often each saw the feature.
 2. The target within its class: each of the HEAD most frequent tokens, or one of up to 16,384 hashed groups of the others.
-   Features are pairs (token before, target) of all tokens, hashed to 64 bits, that occur at least twice in training. Their
-   number grows with the corpus. With features f the probability of a target is that of factor 1, times its share of its
+   Features are pairs (token before, target) of all tokens, hashed to 64 bits, that occur at least twice in training and
+   clearly more often than factor 1 expects. Their number grows with the corpus. With features f the probability of a target is that of factor 1, times its share of its
    class, times exp(weight) and divided by the sum of the same over all targets, so it stays a distribution. A context's
    weights depend on that context alone, so the tasks that hold its counts take the gradient steps (with an L1 penalty).
    The targets of a context that is more frequent than PART tokens fall into parts by hash, each normalised by itself, so
@@ -57,8 +57,8 @@ _BITS = SYMBOLS.bit_length() - 1
 _HELD = 1_000_000
 #: Text of a batch; pairs of a range, about; occurrences of a context beyond which its targets fall into parts.
 BATCH_BYTES, RANGE_PAIRS, PART = 4 << 20, 1_500_000, 1 << 22
-#: A pair is a feature from so many occurrences on; its weight is the maximum-likelihood one under this L1 penalty.
-LEAST, PENALTY = 2, 0.75
+#: A pair is a feature from so many occurrences on, if the likelihood gains so much by it (nats); its weight is the maximum-likelihood one under this L1 penalty.
+LEAST, GAIN, PENALTY = 2, 4.0, 0.75
 
 
 @dataclass
@@ -343,6 +343,20 @@ def pair_weights(ctx: np.ndarray, n: np.ndarray, base: np.ndarray, total: np.nda
     return w
 
 
+def worthwhile(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Pairs that the likelihood gains by, counted n times where `expected` are expected."""
+    return (n > expected) & (n * np.log(n / expected) - (n - expected) >= GAIN)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of all."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_opened(raw, "u1", 4 * n).reshape(4, n).T).view(kind).reshape(-1)
+
+
 def _packed(x: np.ndarray) -> bytes:
     """Ascending unsigned numbers as compressed differences, byte by byte of all."""
     d = np.diff(x, prepend=x.dtype.type(0))
@@ -442,9 +456,11 @@ def _answered(sent: DataFrame, shared) -> DataFrame:
         share = np.ones(len(names))
         for level, part, at in model.hot(names):
             share[at] = model.p1[before[at]] @ model.q_parts[level][part]
-        base = model.p1[before[ctx[f]], model.sigma[y[f]]] * model.q[y[f]] / share[ctx[f]]
+        base = np.maximum(model.p1[before[ctx[f]], model.sigma[y[f]]] * model.q[y[f]] / share[ctx[f]], 1e-300)
+        use = worthwhile(n[f], total[ctx[f]] * base)
+        f, base = f[use], base[use]
         weight = np.zeros(len(u), "<f2")
-        weight[f] = pair_weights(ctx[f], n[f].astype(float), np.maximum(base, 1e-300), total)
+        weight[f] = pair_weights(ctx[f], n[f].astype(float), base, total)
         f = f[weight[f] > 0]
         # One entry for each context and class with features.
         edge, which = np.unique(ctx[f] * SYMBOLS + model.sigma[y[f]], return_inverse=True)
@@ -458,9 +474,9 @@ def _answered(sent: DataFrame, shared) -> DataFrame:
             values.append(_small(weight[i]))
             contexts_.append(len(own))
             edges.append(len(e))
-            at_.append(_small(np.searchsorted(own, edge_ctx[e]).astype("<u4")))
+            at_.append(_planes(np.diff(np.searchsorted(own, edge_ctx[e]), prepend=0).astype("<u4")))
             class_.append(_small((edge[e] % SYMBOLS).astype(np.uint8)))
-            g_.append(g[e].astype("<f8").tobytes())
+            g_.append(_planes(g[e].astype("<f4").view("<u4") & np.uint32(0xFFFFFF00)))  # 16 bits of mantissa
         blobs = lambda x: pa.array(x, pa.binary())
         return pa.table({**out, "values": blobs(values), "contexts": np.array(contexts_, np.int32), "edges": np.array(edges, np.int32), "at": blobs(at_), "class": blobs(class_), "g": blobs(g_)})
 
@@ -490,9 +506,9 @@ def _score(model: Model, space: float, s: pa.RecordBatch, answers: pa.Table) ->
     weight = np.concatenate([_opened(r["values"], "<f2", r["n"]) for r in found]).astype(float)[back]
     _, ctx = np.unique(pairs >> np.uint64(_TARGET_BITS), return_inverse=True)
     before = np.cumsum([0] + [r["contexts"] for r in found])
-    edge_ctx = np.concatenate([_opened(r["at"], "<u4", r["edges"]).astype(np.int64) + b for r, b in zip(found, before[:-1].tolist(), strict=True)])
+    edge_ctx = np.concatenate([np.cumsum(_from_planes(r["at"], "<u4", r["edges"]), dtype=np.int64) + b for r, b in zip(found, before[:-1].tolist(), strict=True)])
     edge_class = np.concatenate([_opened(r["class"], "u1", r["edges"]) for r in found])
-    edge_g = np.concatenate([np.frombuffer(r["g"], "<f8") for r in found])
+    edge_g = np.concatenate([_from_planes(r["g"], "<f4", r["edges"]) for r in found]).astype(float)
     first = np.searchsorted(edge_ctx, np.arange(int(before[-1]) + 1))
     # Normalisers, one for each context and class before it that occur together.
     code, which = np.unique(ctx[back] << _BITS | x.context >> _BITS, return_inverse=True)

@@ -85,8 +85,9 @@ def test_scores_by_brute_force(docs, part, pairs):
                 if f:
                     base = model.p1[ctx & 127, model.sigma] * model.q * inside
                     base /= base.sum()
-                    k = np.array(sorted(f))
-                    tilt[k] = maxent.pair_weights(np.zeros(len(k), int), np.array([float(f[a]) for a in sorted(f)]), base[k], np.array([sum(context[ctx].values())])).astype(np.float16)
+                    total_n = sum(context[ctx].values())
+                    k = np.array([a for a in sorted(f) if maxent.worthwhile(np.array([f[a]]), np.array([total_n * base[a]]))[0]], int)
+                    tilt[k] = maxent.pair_weights(np.zeros(len(k), int), np.array([float(f[a]) for a in k]), base[k], np.array([total_n])).astype(np.float16)
                 tilts[ctx] = tilt
             p = model.p[x.context[i]].astype(float)[model.sigma] * model.q
             own = p * np.exp(tilts[ctx]) * inside
