@@ -4,11 +4,13 @@ A logistic model over the shape of a text (shares of symbols, capitals, repeats
 labelled documents, gives each document its own evidence. Grouped aggregation adds up that evidence by host and by path
 within a host. A host's posterior mean is shrunk toward the global mean, a path's toward its host, each with a strength
 estimated from the spread between groups, so sparse sites fall back on their prior. The score of a document combines its own
-log odds with the log odds of its path relative to the global ones; its own evidence is left out of its path's posterior.
+log odds with the log odds of its path relative to the global ones; its own evidence is left out of its path's and its host's
+posterior. Labels that contradict each other for one id count as bad.
 
 Defined results: a null or wordless text has score 0 and is rejected; a null host or path is the empty name; without labels
 of both kinds nothing is rejected for its text but wordless ones; rows that agree have equal scores; an empty table gives an
-empty result; other columns are ignored, or kept by `judge`.
+empty result; a very long text is read whole, and its shares saturate like a short one's; other columns are ignored, or kept
+by `judge`.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     n = known.count()
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = known.where(u < min(1.0, sample / max(n, 1))).dropDuplicates(["doc_id"]).limit(2 * sample)
+    drawn = known.where(u < min(1.0, sample / max(n, 1))).groupBy("doc_id").agg(F.min("y").alias("y")).limit(2 * sample)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,42 +148,48 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _strength(groups: int, rows: int, squares: float, within: float, between: float, mean: float) -> float:
-    """Prior observations of a beta prior whose variance is the variance between groups (analysis of variance)."""
-    if groups < 2 or rows <= groups:
+def _strength(groups: int, parents: int, rows: int, effective: float, within: float, between: float, mean: float) -> float:
+    """Prior observations of a beta prior whose variance is that between the groups of a parent (nested analysis of variance)."""
+    if groups <= parents or rows <= groups:
         return 1e3
     inside = within / (rows - groups)
-    spread = (between - (groups - 1) * inside) / max(rows - squares / rows, 1e-9)
+    spread = (between - (groups - parents) * inside) / max(effective, 1e-9)
     return 1e4 if spread <= 0 else float(np.clip(mean * (1 - mean) / spread - 1, 2.0, 1e4))
 
 
 def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """scored: host, path, logit. (per host and path: n, sum of evidence, the host's posterior mean and the path's prior strength; the global mean). Sums are taken before anything is shuffled."""
+    """scored: host, path, logit. (per host and path: n and q, hn and hq, the rows and the sums of evidence of path and host, the prior strengths k_host and k_path, and the host's posterior mean; the global mean). Sums are taken before anything is shuffled. Hosts vary around the global mean, paths around their host's."""
     q = _sigmoid(F.col("logit"))
     paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(q).alias("q"), F.sum(q * q).alias("q2")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("q").alias("hq"), F.sum("q2").alias("hq2"))
-
-    def spread(groups: DataFrame, n: str, s: str, s2: str, mean) -> tuple:
-        r = groups.agg(F.count("*"), F.sum(n), F.sum(F.col(n) * F.col(n)), F.sum(F.col(s2) - F.col(s) * F.col(s) / F.col(n)), F.sum(F.col(n) * (F.col(s) / F.col(n) - mean) ** 2)).first()
-        return tuple(x or 0 for x in r)
-
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("q").alias("hq"), F.sum("q2").alias("hq2")), "hosts")
     total = hosts.agg(F.sum("hn"), F.sum("hq")).first()
     mean = total[1] / total[0] if total[0] else 0.5
-    k_host = _strength(*spread(hosts, "hn", "hq", "hq2", F.lit(mean)), mean)
-    k_path = _strength(*spread(paths, "n", "q", "q2", F.lit(mean)), mean)
+
+    def strength(groups: DataFrame, n: str, s: str, s2: str, parent_n: Column, parent_mean: Column, parents: Column) -> float:
+        r = groups.agg(
+            F.count("*"), parents, F.sum(n), F.sum(F.col(n) - F.col(n) * F.col(n) / parent_n),
+            F.sum(F.col(s2) - F.col(s) * F.col(s) / F.col(n)), F.sum(F.col(n) * (F.col(s) / F.col(n) - parent_mean) ** 2),
+        ).first()
+        return _strength(*(x or 0 for x in r), mean)
+
+    k_host = strength(hosts, "hn", "hq", "hq2", F.lit(float(total[0] or 1)), F.lit(mean), F.lit(1))
+    both = paths.join(hosts, "host")
+    k_path = strength(both, "n", "q", "q2", F.col("hn"), F.col("hq") / F.col("hn"), F.count_distinct("host"))
     host = (F.col("hq") + k_host * mean) / (F.col("hn") + k_host)
-    out = paths.join(hosts, "host").select("host", "path", "n", "q", host.alias("host_posterior"), F.lit(k_path).alias("k"))
+    out = both.select("host", "path", "n", "q", "hn", "hq", F.lit(k_host).alias("k_host"), F.lit(k_path).alias("k_path"), host.alias("host_posterior"))
     return written(out, "posteriors"), mean
 
 
 def judge(scored: DataFrame, paths: DataFrame, mean: float, threshold: float = 0.5) -> DataFrame:
-    """scored with host_posterior, path_posterior, score and kept."""
+    """scored with host_posterior, path_posterior, score and kept. A document's own evidence is left out of both posteriors."""
     n = paths.count()
     own = _sigmoid(F.col("logit"))
-    site = (F.col("q") - own + F.col("k") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("k"))
-    score = F.when(F.col("logit") <= _WORDLESS, 0.0).otherwise(_sigmoid(F.col("logit") + _logit(site) - _logit(F.lit(mean))))
+    host = (F.col("hq") - own + F.col("k_host") * mean) / (F.col("hn") - 1 + F.col("k_host"))
+    site = (F.col("q") - own + F.col("k_path") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("k_path"))
+    score = F.when(F.col("logit") <= _WORDLESS, 0.0).otherwise(_sigmoid(F.col("logit") + _logit(F.col("path_posterior")) - _logit(F.lit(mean))))
     joined = scored.join(F.broadcast(paths) if n <= BROADCAST_GROUPS else paths, ["host", "path"])
-    return joined.withColumn("path_posterior", site).withColumn("score", score).withColumn("kept", F.col("score") >= threshold).drop("n", "q", "k")
+    joined = joined.withColumn("host_posterior", host).withColumn("path_posterior", site)
+    return joined.withColumn("score", score).withColumn("kept", F.col("score") >= threshold).drop("n", "q", "hn", "hq", "k_host", "k_path")
 
 
 def sites(docs: DataFrame, host: str = "source", section: str = "lang") -> DataFrame:

@@ -209,6 +209,40 @@ def test_posteriors_shrink(spark):
     assert p["bad"] < p["tiny"] < mean < p["big"]
 
 
+def test_posteriors_by_brute_force(spark):
+    """Means, strengths by nested analysis of variance, and scores, in plain Python."""
+    rng = random.Random(8)
+    rows = [(i, f"h{i % 7}", f"h{i % 7}/{i % 3}", rng.gauss(i % 7 - 3 + (i % 3) / 2, 1.5)) for i in range(300)] + [(900, "lone", "lone/", 2.0), (901, "h1", "h1/0", quality._WORDLESS)]
+    scored = spark.createDataFrame(rows, "doc_id bigint, host string, path string, logit double").repartition(3)
+    paths, mean = quality.posteriors(scored)
+    got = {r.doc_id: r for r in quality.judge(scored, paths, mean).collect()}
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    own = {d: sig(z) for d, _, _, z in rows}
+    m = sum(own.values()) / len(own)
+    by_host, by_path = collections.defaultdict(list), collections.defaultdict(list)
+    for d, h, p, _ in rows:
+        by_host[h].append(own[d])
+        by_path[h, p].append(own[d])
+    avg = lambda x: sum(x) / len(x)
+
+    def strength(groups, parent):
+        n, k, parents = sum(map(len, groups.values())), len(groups), {parent(g)[0] for g in groups}
+        inside = sum((x - avg(v)) ** 2 for v in groups.values() for x in v) / (n - k)
+        between = sum(len(v) * (avg(v) - avg(parent(g)[1])) ** 2 for g, v in groups.items())
+        effective = sum(len(v) - len(v) ** 2 / len(parent(g)[1]) for g, v in groups.items())
+        spread = (between - (k - len(parents)) * inside) / effective
+        return 1e4 if spread <= 0 else min(max(m * (1 - m) / spread - 1, 2.0), 1e4)
+
+    kh = strength(by_host, lambda g: ("", list(own.values())))
+    kp = strength(by_path, lambda g: (g[0], by_host[g[0]]))
+    for d, h, p, z in rows:
+        host = (sum(by_host[h]) - own[d] + kh * m) / (len(by_host[h]) - 1 + kh)
+        site = (sum(by_path[h, p]) - own[d] + kp * host) / (len(by_path[h, p]) - 1 + kp)
+        score = 0.0 if z <= quality._WORDLESS else sig(z + logit(site) - logit(m))
+        assert abs(got[d].score - score) < 1e-6 and abs(got[d].host_posterior - host) < 1e-6 and got[d].kept == (score >= 0.5)
+
+
 def test_rake():
     rng = np.random.default_rng(0)
     cells = rng.integers(1, 100, (3, 4, 2)).astype(float)
