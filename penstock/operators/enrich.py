@@ -20,18 +20,123 @@ TAXONOMY = {
 }
 # Product states and what else they are called.
 STATES = {
-    "fresh": "fresh raw chilled refrigerated unprocessed", "frozen": "frozen deep-frozen deep_frozen", "canned": "canned tinned tin jarred in_brine in_oil in_water in_syrup preserved conserved",
-    "dried": "dried dehydrated sun-dried sundried dry", "cured": "cured smoked salted salt-cured cold-smoked", "pickled": "pickled brined fermented", "roasted": "roasted toasted roast",
-    "cooked": "cooked pre-cooked precooked ready-to-eat ready_to_eat prepared boiled baked grilled fried deli",
-}
+    "fresh": ("fresh", "raw", "chilled", "refrigerated", "unprocessed"),
+    "frozen": ("frozen", "deep-frozen", "deep_frozen"),
+    "canned": ("canned", "tinned", "tin", "jarred", "in_brine", "in_oil", "in_water", "in_syrup", "preserved", "conserved"),
+    "dried": ("dried", "dehydrated", "sun-dried", "sundried", "dry"),
+    "cured": ("cured", "smoked", "salted", "salt-cured", "cold-smoked"),
+    "pickled": ("pickled", "brined", "fermented"),
+    "roasted": ("roasted", "toasted", "roast"),
+    "cooked": ("cooked", "pre-cooked", "precooked", "ready-to-eat", "ready_to_eat", "prepared", "boiled", "baked", "grilled", "fried", "deli"),
+}
 # Prefixes of article numbers (first, last, country); where the table has gaps, no country is named.
 GS1 = (
-    (479, 479, "Sri Lanka"), (480, 480, "Philippines"), (481, 481, "Belarus"), (482, 482, "Ukraine"), (484, 484, "Moldova"), (485, 485, "Armenia"), (486, 486, "Georgia"), (487, 487, "Kazakhstan"), (489, 489, "Hong Kong"), (490, 499, "Japan"),
-    (500, 509, "UK"), (520, 520, "Greece"), (528, 528, "Lebanon"), (529, 529, "Cyprus"), (530, 530, "Albania"), (531, 531, "North Macedonia"), (535, 535, "Malta"), (539, 539, "Ireland"), (540, 549, "Belgium/Luxembourg"), (560, 560, "Portugal"),
-    (569, 569, "Iceland"), (570, 579, "Denmark"), (590, 590, "Poland"), (594, 594, "Romania"), (599, 599, "Hungary"), (600, 601, "South Africa"), (640, 649, "Finland"), (690, 699, "China"), (700, 709, "Norway"), (729, 729, "Israel"),
-    (730, 739, "Sweden"), (750, 750, "Mexico"), (754, 755, "Canada"), (760, 769, "Switzerland"), (789, 790, "Brazil"), (800, 839, "Italy"), (840, 849, "Spain"), (858, 858, "Slovakia"), (859, 859, "Czech Republic"), (868, 869, "Turkey"),
-    (870, 879, "Netherlands"), (880, 880, "South Korea"), (885, 885, "Thailand"), (888, 888, "Singapore"), (890, 890, "India"), (893, 893, "Vietnam"),
-)
+    (0, 19, "USA/Canada"),
+    (20, 29, "Store internal"),
+    (30, 39, "USA/Canada"),
+    (300, 379, "France"),
+    (380, 380, "Bulgaria"),
+    (383, 383, "Slovenia"),
+    (385, 385, "Croatia"),
+    (387, 387, "Bosnia"),
+    (389, 389, "Montenegro"),
+    (400, 440, "Germany"),
+    (450, 459, "Japan"),
+    (460, 469, "Russia"),
+    (470, 470, "Kyrgyzstan"),
+    (471, 471, "Taiwan"),
+    (474, 474, "Estonia"),
+    (475, 475, "Latvia"),
+    (476, 476, "Azerbaijan"),
+    (477, 477, "Lithuania"),
+    (478, 478, "Uzbekistan"),
+    (479, 479, "Sri Lanka"),
+    (480, 480, "Philippines"),
+    (481, 481, "Belarus"),
+    (482, 482, "Ukraine"),
+    (484, 484, "Moldova"),
+    (485, 485, "Armenia"),
+    (486, 486, "Georgia"),
+    (487, 487, "Kazakhstan"),
+    (489, 489, "Hong Kong"),
+    (490, 499, "Japan"),
+    (500, 509, "UK"),
+    (520, 520, "Greece"),
+    (528, 528, "Lebanon"),
+    (529, 529, "Cyprus"),
+    (530, 530, "Albania"),
+    (531, 531, "North Macedonia"),
+    (535, 535, "Malta"),
+    (539, 539, "Ireland"),
+    (540, 549, "Belgium/Luxembourg"),
+    (560, 560, "Portugal"),
+    (569, 569, "Iceland"),
+    (570, 579, "Denmark"),
+    (590, 590, "Poland"),
+    (594, 594, "Romania"),
+    (599, 599, "Hungary"),
+    (600, 601, "South Africa"),
+    (609, 609, "Mauritius"),
+    (611, 611, "Morocco"),
+    (613, 613, "Algeria"),
+    (616, 616, "Kenya"),
+    (618, 618, "Ivory Coast"),
+    (619, 619, "Tunisia"),
+    (621, 621, "Syria"),
+    (622, 622, "Egypt"),
+    (624, 624, "Libya"),
+    (625, 625, "Jordan"),
+    (626, 626, "Iran"),
+    (628, 628, "Saudi Arabia"),
+    (629, 629, "UAE"),
+    (640, 649, "Finland"),
+    (690, 699, "China"),
+    (700, 709, "Norway"),
+    (729, 729, "Israel"),
+    (730, 739, "Sweden"),
+    (740, 741, "Guatemala"),
+    (742, 742, "Honduras"),
+    (743, 743, "Nicaragua"),
+    (744, 744, "Costa Rica"),
+    (745, 745, "Panama"),
+    (746, 746, "Dominican Republic"),
+    (750, 750, "Mexico"),
+    (754, 755, "Canada"),
+    (759, 759, "Venezuela"),
+    (760, 769, "Switzerland"),
+    (770, 770, "Colombia"),
+    (773, 773, "Uruguay"),
+    (775, 775, "Peru"),
+    (777, 777, "Bolivia"),
+    (778, 779, "Argentina"),
+    (780, 780, "Chile"),
+    (784, 784, "Paraguay"),
+    (786, 786, "Ecuador"),
+    (789, 790, "Brazil"),
+    (800, 839, "Italy"),
+    (840, 849, "Spain"),
+    (858, 858, "Slovakia"),
+    (859, 859, "Czech Republic"),
+    (860, 860, "Serbia"),
+    (865, 865, "Mongolia"),
+    (867, 867, "North Korea"),
+    (868, 869, "Turkey"),
+    (870, 879, "Netherlands"),
+    (880, 880, "South Korea"),
+    (884, 884, "Cambodia"),
+    (885, 885, "Thailand"),
+    (888, 888, "Singapore"),
+    (890, 890, "India"),
+    (893, 893, "Vietnam"),
+    (896, 896, "Pakistan"),
+    (899, 899, "Indonesia"),
+    (900, 919, "Austria"),
+    (930, 939, "Australia"),
+    (940, 949, "New Zealand"),
+    (950, 950, "GS1 Global Office"),
+    (955, 955, "Malaysia"),
+    (958, 958, "Macau"),
+)
 PRICE_CEILING = 200.0
 
 
@@ -109,7 +214,7 @@ def keyword_category(name: Column) -> Column:
 
 
 def clean_state(raw: Column) -> Column:
-    table = {w.replace("_", " "): k for k, ws in STATES.items() for w in ws.split()}
+    table = {w.replace("_", " "): k for k, ws in STATES.items() for w in ws}
     return F.try_element_at(_map(table), F.lower(F.trim(raw)))
 
 

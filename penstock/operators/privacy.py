@@ -29,12 +29,16 @@ def numbered(rows: DataFrame, value: str, order: list, prefix: str) -> DataFrame
     return dealt.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(base), "_p").select(value, n.alias("number"), F.concat(F.lit(prefix), letters(n) if prefix.endswith("_") and prefix[0].isupper() else n.cast("string")).alias("alias"))
 
 
+#: Letters that name any number up to 26 ** 10, beyond what a table can hold.
+_LETTERS = 10
+
+
 def letters(n: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, ... (five letters at most)."""
-    out, rest = F.lit(""), n
-    for _ in range(5):
-        out = F.when(rest >= 0, F.concat(F.chr((rest % 26 + 65).cast("long")), out)).otherwise(out)
-        rest = F.floor(rest / 26) - 1
+    """0 -> A, 25 -> Z, 26 -> AA, ... up to 26 ** 10."""
+    out, rest = F.lit(""), n.cast("bigint")
+    for _ in range(_LETTERS):
+        out = F.when(rest >= 0, F.concat(F.chr(rest % 26 + 65), out)).otherwise(out)
+        rest = F.when(rest >= 26, F.floor(rest / 26) - 1).otherwise(F.lit(-1).cast("bigint"))
     return out
 
 

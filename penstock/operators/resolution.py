@@ -62,18 +62,28 @@ def bundle_summaries(atoms: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(bundles: DataFrame) -> DataFrame:
-    """bundles: ord, bundle_type, vendor, vendor_key, slug, amount, currency, event_date. (a, b) with a before b, sharing a block: the vendor key, the slug, its first four letters with the same amount, or, beside an intermediary, amount and currency. Dates must be within the types' tolerance; every block carries its date window, so a vendor with very many bundles is joined by week."""
-    b = bundles.withColumn("agent", V.is_intermediary("vendor")).withColumn("key", V.strip_country_prefix(F.upper("vendor_key")))
-    money = F.concat_ws("|", F.round("amount", 1).cast("string"), "currency")
-    blocks = F.array_compact(F.array(F.concat(F.lit("k"), "key"), F.concat(F.lit("s"), F.when(F.length("slug") > 0, F.col("slug"))), F.concat(F.lit("p"), F.when(F.length("slug") >= 4, F.concat(F.substring("slug", 1, 4), money))), F.concat(F.lit("m"), money)))
-    x = b.withColumn("block", F.explode(blocks)).withColumn("week", F.floor(F.unix_date("event_date") / 64))
-    left = x.select([F.col(c).alias(f"a_{c}") for c in x.columns])
-    right = x.withColumn("week", F.explode(F.array("week", F.col("week") + 1, F.col("week") - 1))).select([F.col(c).alias(f"b_{c}") for c in x.columns])
-    on = (F.col("a_block") == F.col("b_block")) & F.col("a_week").eqNullSafe(F.col("b_week")) & (F.col("a_ord") < F.col("b_ord"))
-    money_block = F.col("a_block").startswith("m")
-    near = F.abs(F.datediff("a_event_date", "b_event_date")) <= date_tolerance(F.col("a_bundle_type"), F.col("b_bundle_type"))
-    keep = (~money_block | F.col("a_agent") | F.col("b_agent")) & (near | F.col("a_event_date").isNull() | F.col("b_event_date").isNull())
-    return left.join(right, on).where(keep).dropDuplicates(["a_ord", "b_ord"])
+    """bundles: ord, bundle_type, vendor, vendor_key, slug, amount, currency, event_date. (a, b) with a before b, sharing a block: the vendor key, the slug, its first four letters with nearly the same amount, or, where one is an intermediary, nearly the same amount. Two dates must be within the types' tolerance, an unknown one meets any.
+
+    Blocks are joined on ids alone: by week where both dates are known, so a vendor with very many bundles doesn't meet itself whole, and once more from the bundles without a date. Amounts up to 0.02 apart meet in one of two buckets. The amount alone is a block between intermediaries and all others only."""
+    names = bundles.select("vendor").distinct().withColumn("agent", V.is_intermediary("vendor"))
+    b = bundles.join(names, bundles["vendor"].eqNullSafe(names["vendor"])).drop(names["vendor"]).withColumn("key", V.strip_country_prefix(F.upper("vendor_key")))
+    cents = (F.col("amount") * 100).cast("bigint")
+    bucket = lambda d: F.concat_ws("|", F.floor((cents + d) / 10).cast("string"), "currency")
+    money = F.when(F.col("amount").isNotNull(), bucket(0))
+    near = F.when(F.col("amount").isNotNull(), F.array_distinct(F.array(bucket(-2), bucket(2))))
+    head = F.when(F.length("slug") >= 4, F.substring("slug", 1, 4))
+    plain = F.array(F.concat(F.lit("k"), "key"), F.concat(F.lit("s"), F.when(F.length("slug") > 0, F.col("slug"))))
+    own = F.array_compact(F.concat(plain, F.array(F.concat(F.lit("p"), head, money), F.concat(F.lit("m"), money), F.when(F.col("agent"), F.concat(F.lit("n"), money)))))
+    met = F.array_compact(F.concat(plain, F.coalesce(F.transform(near, lambda m: F.concat(F.lit("p"), head, m)), F.array().cast("array<string>")), F.coalesce(F.when(F.col("agent"), F.transform(near, lambda m: F.concat(F.lit("m"), m))), F.array().cast("array<string>")), F.coalesce(F.when(~F.col("agent"), F.transform(near, lambda m: F.concat(F.lit("n"), m))), F.array().cast("array<string>"))))
+    thin = b.select("ord", "bundle_type", "event_date", own.alias("own"), met.alias("met"), F.floor(F.unix_date("event_date") / 64).alias("week"))
+    left = thin.select(F.col("ord").alias("a"), F.col("bundle_type").alias("ta"), F.col("event_date").alias("da"), "week", F.explode("own").alias("block"))
+    right = thin.select(F.col("ord").alias("b"), F.col("bundle_type").alias("tb"), F.col("event_date").alias("db"), "week", F.explode("met").alias("block"))
+    weeks = right.where("week is not null").withColumn("week", F.explode(F.array(F.col("week"), F.col("week") + 1, F.col("week") - 1)))
+    dated = left.join(weeks, ["block", "week"]).where(F.abs(F.datediff("da", "db")) <= date_tolerance(F.col("ta"), F.col("tb")))
+    undated = left.where("da is null").join(right.drop("week"), "block").unionByName(left.where("da is not null").join(right.where("db is null").drop("week"), "block"))
+    pairs = dated.select("a", "b").unionByName(undated.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a_ord"), F.greatest("a", "b").alias("b_ord")).distinct()
+    side = lambda s: b.select([F.col(c).alias(f"{s}_{c}") for c in b.columns])
+    return pairs.join(side("a"), "a_ord").join(side("b"), "b_ord")
 
 
 def vendor_score() -> Column:

@@ -183,7 +183,9 @@ def _noisy_bundles(s, d):
     f = facts(s, d)
     a = f.select((F.col("id") * 2).alias("ord"), F.lit("basket").alias("bundle_type"), "vendor", "vendor_key", F.col("total_amount").cast("decimal(18,2)").alias("amount"), "currency", "event_date")
     b = f.select((F.col("id") * 2 + 1).alias("ord"), F.lit("payment_record").alias("bundle_type"), F.upper(F.concat("vendor", F.lit(" LTD"))).alias("vendor"), "vendor_key", F.col("total_amount").cast("decimal(18,2)").alias("amount"), "currency", F.date_add("event_date", F.when(F.col("id") % 2 == 0, 1).otherwise(0)).alias("event_date"))
-    return a.unionByName(b).withColumn("slug", vendors.slug("vendor")).withColumn("item_names", F.array().cast("array<string>"))
+    both = a.unionByName(b)
+    slugs = both.select("vendor").distinct().withColumn("slug", vendors.slug("vendor"))
+    return both.join(slugs, "vendor").withColumn("item_names", F.array().cast("array<string>"))
 
 
 @query()
@@ -289,7 +291,7 @@ def forest_roots(s, d):
 # Enrichment
 
 
-@query("WITH p AS (SELECT p_partkey AS id, lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS barcode FROM part) SELECT barcode, CASE WHEN CAST(substr(barcode, 1, 3) AS INT) = 0 THEN NULL END AS country FROM p")
+@query("SELECT lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS barcode, 'USA/Canada' AS country FROM part")
 def gs1_countries(s, d):
     return enrich.gs1_country(s, s.read.parquet(f"{d}/part.parquet").select(F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("barcode")))
 

@@ -85,11 +85,14 @@ def flushed(stream: DataFrame, most: int = 20, seconds: int = 30) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(FlushProcessor(most, seconds), "key string, n bigint, ids string", "append", "ProcessingTime")
 
 
-def upsert_batches(path: str, key: list[str]):
-    """A foreachBatch writer: each batch is a version of its own below the path, newest of each key first kept; replaying a batch overwrites the same version, so late or repeated delivery changes nothing."""
+def upsert_batches(path: str, key: list[str], order: list[str] | None = None):
+    """A foreachBatch writer: each batch is a version of its own below the path with one row of each key, the greatest by `order` (by all other columns where none is given); replaying a batch overwrites the same version, so late or repeated delivery changes nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        rest = [c for c in batch.columns if c not in key]
+        by = F.struct(*(order or []), *[c for c in rest if c not in (order or [])])
+        last = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_row")) if rest else batch.select(*key).distinct()
+        last.select(*[F.col(c) if c in key or not rest else F.col(f"_row.{c}") for c in batch.columns]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
 

@@ -200,3 +200,70 @@ def test_flush_by_count_or_time(spark, tmp_path):
     finally:
         q.stop()
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_clouds_with_unknown_dates_and_near_amounts(spark):
+    """A bundle without a date meets its like; amounts 0.02 apart meet across any rounding edge; intermediaries meet by amount alone, others don't."""
+    rows = [
+        (1, "basket", "Alpha Shop", "V1", "alphashop", "10.00", "EUR", "2024-01-05"), (2, "payment_record", "Alpha Shop", "V1", "alphashop", "10.00", "EUR", None),
+        (3, "basket", "Betamart one", None, "betamartone", "12.34", "EUR", "2024-01-05"), (4, "payment_record", "Betamart two", None, "betamarttwo", "12.36", "EUR", "2024-01-05"),
+        (5, "basket", "Gamma", "V5", "gamma", "99.95", "EUR", "2024-02-01"), (6, "payment_record", "JCC PAYMENT SYSTEMS", None, "jcc", "99.97", "EUR", "2024-02-01"), (7, "basket", "Delta", "V7", "delta", "99.95", "EUR", "2024-02-01"),
+    ]
+    b = spark.createDataFrame(rows, "ord bigint, bundle_type string, vendor string, vendor_key string, slug string, amount string, currency string, event_date string")
+    b = b.withColumn("amount", F.col("amount").cast("decimal(18,2)")).withColumn("event_date", F.col("event_date").cast("date")).withColumn("item_names", F.array().cast("array<string>"))
+    pairs = {(r.a_ord, r.b_ord) for r in resolution.candidate_pairs(b).select("a_ord", "b_ord").collect()}
+    assert {(1, 2), (3, 4), (5, 6), (6, 7)} <= pairs and (5, 7) not in pairs
+    clouds = {r.ord: r.cloud for r in resolution.form_clouds(b).collect()}
+    assert clouds[1] == clouds[2]
+
+
+def test_places_reach_over_every_edge(spark):
+    """Against the scan in order of id: at the meridian of London, the date line and a pole, with repeats and chains."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    spots = [(51.5, 0.0), (0.5, 33.5), (-16.9, 180.0), (89.9995, 20.0)]
+    rows = []
+    for i in range(240):
+        lat, lng = spots[i % 4]
+        k = 1 / max(math.cos(math.radians(min(lat, 89.99))), 1e-3)
+        lng = lng + rng.uniform(-0.004, 0.004) * k
+        rows.append((i, min(90.0, lat + rng.uniform(-0.003, 0.003)), (lng + 180) % 360 - 180))
+    rows += [(1000 + i, r[1], r[2]) for i, r in enumerate(rows[:40])]
+
+    def far(a, b):
+        (x, y), (u, v) = (map(math.radians, p) for p in (a, b))
+        h = math.sin((u - x) / 2) ** 2 + math.cos(x) * math.cos(u) * math.sin((v - y) / 2) ** 2
+        return 2 * 6_371_000.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    seeds, want = [], {}
+    for i, lat, lng in sorted(rows):
+        near = [s for s, p in seeds if far(p, (lat, lng)) <= 100]
+        want[i] = near[0] if near else i
+        if not near:
+            seeds.append((i, (lat, lng)))
+    points = spark.createDataFrame(rows, "id bigint, lat double, lng double")
+    assert {r.id: r.place for r in stats.place_clusters(points).collect()} == want
+
+
+def test_aliases_for_any_number(spark):
+    from penstock.operators.privacy import letters
+
+    def name(n):
+        out = ""
+        while n >= 0:
+            out, n = chr(65 + n % 26) + out, n // 26 - 1
+        return out
+
+    ns = [0, 25, 26, 701, 702, 12_356_629, 12_356_630, 12_356_631, 10**9, 10**12]
+    got = spark.createDataFrame([(n,) for n in ns], "n bigint").select("n", letters(F.col("n")).alias("a")).collect()
+    assert {r.n: r.a for r in got} == {n: name(n) for n in ns}
+
+
+def test_upsert_keeps_the_newest(spark, tmp_path):
+    from penstock.streaming.streams import current, upsert_batches
+
+    write = upsert_batches(str(tmp_path / "t"), ["id"], ["at"])
+    write(spark.createDataFrame([(1, 5, "new"), (1, 3, "old"), (2, 1, "x")], "id int, at int, v string"), 0)
+    assert {r.id: r.v for r in current(spark, str(tmp_path / "t"), ["id"]).collect()} == {1: "new", 2: "x"}
