@@ -34,11 +34,13 @@ _LETTERS = 10
 
 
 def letters(n: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, ... up to 26 ** 10."""
-    out, rest = F.lit(""), n.cast("bigint")
-    for _ in range(_LETTERS):
-        out = F.when(rest >= 0, F.concat(F.chr(rest % 26 + 65), out)).otherwise(out)
-        rest = F.when(rest >= 26, F.floor(rest / 26) - 1).otherwise(F.lit(-1).cast("bigint"))
+    """0 -> A, 25 -> Z, 26 -> AA, ... up to 26 ** 10: the number within those of as many letters, in base 26."""
+    out, start = F.lit(None).cast("string"), 0
+    for size in range(1, _LETTERS + 1):
+        m = n - start
+        name = F.concat(*[F.chr((F.floor(m / 26**i) % 26 + 65).cast("bigint")) for i in reversed(range(size))])
+        start += 26**size
+        out = F.coalesce(out, F.when(n < start, name))
     return out
 
 
