@@ -5,7 +5,7 @@ mask over those bits, so policies are applied, compared and ablated on the ledge
 text is read again.
 
 Defined results: a null or wordless text has no words, fails few_words and has zeros elsewhere; a text shorter than five
-words has no window; a row is judged alone, so ties, repeated rows and other columns play no part; an empty table gives
+words has no window; a very long text is measured whole; a row is judged alone, so ties, repeated rows and other columns play no part; an empty table gives
 an empty ledger.
 """
 
@@ -27,10 +27,7 @@ def _bind(x: Column, f) -> Column:
 
 def _count(text: Column, chars: str) -> Column:
     """How many characters of `text` are among `chars`."""
-    rest = text
-    for c in chars:
-        rest = F.replace(rest, F.lit(c), F.lit(""))
-    return (F.length(text) - F.length(rest)).cast("long")
+    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
 def _windows(words: Column) -> Column:
