@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. SQL can't express the learned stages, so ORACLE_SQL is None and the tests hold run() against its parts.
+
+Defined results, at every stage: null and empty texts have no words, so the first stage rejects them (in later stages, were
+they to get there: no language, no shingles and so no copies, drawn like their cell, the end id alone); null ids, sources and
+languages are values like any other; repeated rows are judged alike and near_dedup keeps one; ties go by id, then by text; a
+very long text is read whole; an empty table stays empty; columns other than those of documents go at the first stage.
 """
 
 from __future__ import annotations
