@@ -41,7 +41,7 @@ REGION, REGION_BLOCK = 20_000, 4_000
 BLOCK_SHINGLES, HUBS, ORDERS = 4_000_000, 32, 3
 #: Sets that a task holds at once.
 BLOCK_SETS = 10_000
-#: Family members up to this number are broadcast to the texts (a few words each); more are joined by shuffling.
+#: Family members up to this number are broadcast to the texts (a few words each), and open regions to the forest; more are joined by shuffling.
 BROADCAST_MEMBERS = 500_000
 
 _rng = np.random.default_rng(20240229)
@@ -249,9 +249,10 @@ def _families(nodes: DataFrame, rule: Rule, region_block: int = REGION_BLOCK) ->
     """(node, root) under all candidates: every two nodes of a region whose sketches agree enough are in one family."""
     found = written(_candidates(_forest(nodes), rule), "candidates")
     near = written(components(found.where("a is not null").select("a", "b")), "families")
-    regions = found.where("a is null").select("tree", "prefix").distinct()
+    regions = written(found.where("a is null").select("tree", "prefix").distinct(), "regions")
+    small = regions.count() <= BROADCAST_MEMBERS  # else the forest is shuffled once more
     forest = _forest(nodes).withColumn("prefix", F.substring("key", 1, 4 * LEAST_DEPTH))
-    rows = forest.join(regions, ["tree", "prefix"]).join(near, "node", "left")
+    rows = written(forest.join(F.broadcast(regions) if small else regions, ["tree", "prefix"]).select("tree", "prefix", "node", "sketch"), "region-rows").join(near, "node", "left")
     rows = written(rows.select("tree", "prefix", "node", "sketch", F.coalesce("root", "node").alias("root"), F.lit(1).alias("w")), "open-regions")
     more = written(_met(_blocks(rows, ["tree", "prefix"], region_block), rule.sketch_matches), "late-candidates")
     if not more.head(1):
