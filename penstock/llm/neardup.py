@@ -41,7 +41,7 @@ REGION, REGION_BLOCK = 20_000, 4_000
 BLOCK_SHINGLES, HUBS, ORDERS = 4_000_000, 32, 3
 #: Sets that a task holds at once.
 BLOCK_SETS = 10_000
-#: Family members up to this number are broadcast to the texts (a few words each), and open regions to the forest; more are joined by shuffling.
+#: Family members and rows that go, up to this number, are broadcast to the texts (a few words each), and open regions to the forest; more are joined by shuffling.
 BROADCAST_MEMBERS = 500_000
 
 _rng = np.random.default_rng(20240229)
@@ -438,6 +438,8 @@ def distinct_texts(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
     again = F.col("key") == F.col("least")
     verdict = counts.join(least, "root").where(~again | (F.col("n") > 1)).select(F.coalesce(F.col("key.doc_id"), F.lit(_NO_ID)).alias("_id"), F.col("key.t1").alias("_t1"), F.col("key.t2").alias("_t2"), again.alias("_again"))
     keys = ["_id", "_t1", "_t2"]
-    whole = plain.join(written(verdict, "copies"), keys, "left")
+    copies = written(verdict, "copies")
+    small = copies.count() <= BROADCAST_MEMBERS  # else whole texts are shuffled once
+    whole = plain.join(F.broadcast(copies) if small else copies, keys, "left")
     once = whole.where("_again").dropDuplicates(keys)  # a row for each repeated row that stays
     return whole.where("_again is null").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

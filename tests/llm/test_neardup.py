@@ -81,8 +81,10 @@ def test_distinct_texts_keeps_one_of_each(spark):
     assert sorted(r.doc_id for r in neardup.distinct_texts(docs).collect()) == [3, 7, 8, 9]
 
 
-def test_distinct_texts_goes_by_row(spark):
-    """A unique text that shares its id with a copy stays; of repeated rows one stays; copies without an id go."""
+@pytest.mark.parametrize("bound", [neardup.BROADCAST_MEMBERS, 0])
+def test_distinct_texts_goes_by_row(spark, monkeypatch, bound):
+    """A unique text that shares its id with a copy stays; of repeated rows one stays; copies without an id go. The same whether the rows that go are broadcast or joined by shuffling."""
+    monkeypatch.setattr(neardup, "BROADCAST_MEMBERS", bound)
     copy, other = "a b c d e f", "k l m n o p q"
     rows = [(1, copy, "u"), (3, copy, "v"), (3, other, "w"), (4, "r s t u v w", "x"), (4, "r s t u v w", "x"), (None, copy, "y"), (None, "x1 x2 x3 x4 x5 x6", "z"), (None, "x1 x2 x3 x4 x5 x6", "z"), (5, None, "z"), (5, None, "z"), (6, " ", "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, t1 string").repartition(4)
