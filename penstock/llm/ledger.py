@@ -38,16 +38,33 @@ def _windows(words: Column) -> Column:
 
 
 def _repeat_words(h: Column) -> Column:
-    """Words inside windows that occur twice or more; h: the windows' hashes. Hash and position are packed into one long, so a primitive sort brings equal windows together."""
+    """Words inside windows that occur twice or more; h: the windows' hashes. Hash and position are packed into one long, so a primitive sort brings equal windows together; the packing cuts the hash, so where windows of different whole hashes fall together, the candidates are sorted by the whole ones."""
     b = F.ceil(F.log2(F.size(h) + 1)).cast("int")
+    top = lambda x: F.call_function("shiftrightunsigned", x, b)
+    whole = lambda x: F.get(h, x.cast("int"))
+    five = F.lit(WINDOW).cast("long")
 
-    def twice(s: Column) -> Column:
-        top = lambda x: F.call_function("shiftrightunsigned", x, b)
-        at = F.transform(F.filter(s, lambda x, i: (top(F.get(s, i - 1)) == top(x)) | (top(F.get(s, i + 1)) == top(x))), lambda x: x - F.call_function("shiftleft", top(x), b))
-        return _bind(F.sort_array(at), lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x))
+    def candidates(s: Column) -> Column:
+        """Positions whose cut hash occurs twice, in the order of cut hash and position."""
+        return F.transform(F.filter(s, lambda x, i: (top(F.get(s, i - 1)) == top(x)) | (top(F.get(s, i + 1)) == top(x))), lambda x: x - F.call_function("shiftleft", top(x), b))
+
+    def apart(c: Column) -> Column:
+        """Whether a candidate has a neighbour of the same cut and another whole hash."""
+        cut = lambda x: F.call_function("shiftleft", whole(x), b)
+        return F.exists(F.transform(c, lambda x, i: (cut(F.get(c, i + 1)) == cut(x)) & (whole(F.get(c, i + 1)) != whole(x))), lambda x: x)
+
+    def exact(c: Column) -> Column:
+        """The candidates whose whole hash occurs twice."""
+        pairs = F.sort_array(F.transform(c, lambda x: F.struct(whole(x).alias("h"), x.alias("at"))))
+        twice = lambda s: F.transform(F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])), lambda x: x["at"])
+        return _bind(pairs, twice)
+
+    def covered(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, i: F.least(five, F.coalesce(F.get(p, i + 1) - x, five))), F.lit(0).cast("long"), lambda a, x: a + x)
 
     packed = F.transform(h, lambda x, i: F.call_function("shiftleft", x, b).bitwiseOR(i.cast("long")))
-    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_bind(F.sort_array(packed), twice))
+    repeated = _bind(_bind(F.sort_array(packed), candidates), lambda c: F.sort_array(F.when(apart(c), exact(c)).otherwise(c)))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_bind(repeated, covered))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,6 +157,16 @@ def test_ledger(docs):
         ledger.ledger(docs, (ledger.Rule(0, "a", "true"), ledger.Rule(0, "b", "true")))
 
 
+def test_repeats_are_told_by_whole_hashes(spark):
+    """Hashes that differ only in the bits that the packing cuts, between and beside true repeats."""
+    a, b, c = 5, 5 - (1 << 63), 5 + (1 << 62)
+    rows = [[a, b, a], [a, b, c, 9, 9], [b, a, 7, b, c, a, 8], [a, b, c, 1, 2, 3, 4, 5 << 1], [3, 3, 3], [1, 2], []]
+    out = spark.createDataFrame([(i, h) for i, h in enumerate(rows)], "i int, h array<bigint>").select("i", ledger._repeat_words(F.col("h")).alias("n")).collect()
+    for r in out:
+        n = collections.Counter(rows[r.i])
+        assert r.n == len({j for i, x in enumerate(rows[r.i]) if n[x] > 1 for j in range(i, i + 5)})
+
+
 def test_shards(spark, docs):
     hot = spark.createDataFrame([(10_000 + i, "hot text") for i in range(700)], "doc_id bigint, text string")
     ties = spark.createDataFrame([(20_000, "one row many times")] * 900, "doc_id bigint, text string")
