@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import quantities, vendors
+from ..functions import fields, jurisdiction, quantities, vendors
 from ..operators import enrich, privacy, records, resolution, search, spend, stars, stats
 from ..sources import files
 from . import catalog_entities as entities
@@ -294,7 +294,7 @@ def template_reliability(s, d):
 @query("SELECT fact_id * 100 + line AS id, min(part_id) AS part_id FROM item_stars WHERE vendor_key = (SELECT min(vendor_key) FROM facts) AND part_id % 4 <> 0 GROUP BY ALL")
 def audit_candidates(s, d):
     key = facts(s, d).agg(F.min("vendor_key").alias("k"))
-    own = star(s, d).join(F.broadcast(key), F.col("vendor_key") == F.col("k")).where("part_id % 4 <> 0 or part_id % 4 = 0")
+    own = star(s, d).join(F.broadcast(key), F.col("vendor_key") == F.col("k"))
     x = own.select((F.col("fact_id") * 100 + F.col("line")).alias("id"), "part_id", F.lit("one").alias("vendor"), "event_date", F.when(F.col("part_id") % 4 == 0, "user_confirmed").otherwise("rule").alias("enrichment_source"), "comparable_name", "category")
     return records.audit_candidates(x, 1_000_000, "one").groupBy("id").agg(F.min("part_id").alias("part_id"))
 
@@ -388,3 +388,58 @@ def vector_scores(s, d):
 def reconciled_facts(s, d):
     """Lines that already add up to the printed total are reconciled, none is lost."""
     return entities.reconcile_lines(s, d).groupBy("fact_id").agg(F.count("*").alias("n"), F.bool_and("reconciled").alias("reconciled"))
+
+
+# Jurisdictions and fields
+
+#: What is printed, the currency read from it, and the country and currency it tells.
+_PRINTED = (
+    ("Atatürk Cad., Lefkoşa", "TOPLAM 250 TL 7,00 EUR", "EUR", "CY-NORTH", "TRY"),
+    ("12 King St, Toronto", "Total $ 12.00 HST", "$", "CA", "CAD"),
+    ("Bar", "Canada Dry 2.00 EUR", "EUR", None, "EUR"),
+    ("Bar", "Made in Canada $ 4", "USD", "CA", "CAD"),
+    ("Graz", "ATU12345678 3,00", None, "AT", "EUR"),
+    ("Кафе", "Оплата 300 руб", "EUR", "RU", "RUB"),
+    ("Кафе", "Основной зал 3.00 eur", "RUB", None, "EUR"),
+    ("Κεντρική οδός", "Σύνολο 5,00", "USD", "CY", "EUR"),
+    ("Shop", "F.P.A 19% FPA", None, "CY", "EUR"),
+    ("Shop", "Toplam 90 TL", None, "TR", "TRY"),
+    ("Moscow", "Total 3.00 €", None, "RU", "EUR"),
+    ("Shop", "Total 9.00", "£", None, "GBP"),
+    ("Shop", "GST 2 guests", " ", None, " "),
+    (None, None, None, None, None),
+)
+
+
+def _sql_text(x):
+    return "NULL::VARCHAR" if x is None else f"'{x}'"
+
+
+@query("WITH c(k, country, currency) AS (VALUES " + ", ".join(f"({k}, {_sql_text(c)}, {_sql_text(m)})" for k, (_, _, _, c, m) in enumerate(_PRINTED)) + f") SELECT id, c.country, c.currency FROM facts JOIN c ON k = id % {len(_PRINTED)}")
+def jurisdictions(s, d):
+    """Every order comes with one of the printed texts."""
+    at = (F.col("id") % len(_PRINTED) + 1).cast("int")
+    pick = lambda j: F.element_at(F.array(*[F.lit(p[j]).cast("string") for p in _PRINTED]), at)
+    docs = facts(s, d).select("id", pick(0).alias("vendor_address"), pick(1).alias("raw_text"), pick(2).alias("currency"))
+    return jurisdiction.apply_jurisdiction(docs).select("id", "country", "currency")
+
+
+#: A field's name and value, and its type.
+_FIELDS = (("is_paid", "7", "boolean"), ("Verified", None, "boolean"), ("event-date", "x", "date"), ("tax rate", "5", "percentage"), ("unit_price", "5", "currency"), ("net_weight", "5", "weight"), ("volume", "5", "volume"), ("kwh", "5", "energy"), ("height", "5", "distance"), ("opening hours", "5", "duration"), ("area", "5", "area"), ("qty", "5", "count"), ("x", "Yes", "boolean"), ("x", "2024-05-01", "date"), ("x", "5 %", "percentage"), (None, "€ 5", "currency"), ("", "-5.5", "number"), ("x", "five", "text"), ("x", None, "text"))
+
+
+@query("WITH c(k, type) AS (VALUES " + ", ".join(f"({k}, '{t}')" for k, (_, _, t) in enumerate(_FIELDS)) + f") SELECT id, type FROM facts JOIN c ON k = id % {len(_FIELDS)}")
+def field_types(s, d):
+    at = (F.col("id") % len(_FIELDS) + 1).cast("int")
+    pick = lambda j: F.element_at(F.array(*[F.lit(f[j]).cast("string") for f in _FIELDS]), at)
+    return facts(s, d).select("id", fields.field_type(pick(0), pick(1)).alias("type"))
+
+
+_SIDE = "SELECT vendor_key, round(total_price / 1000, 0) AS p, count(*) AS n FROM item_stars WHERE fact_type {} 'purchase' GROUP BY ALL"
+
+
+@query(f"WITH x AS ({_SIDE.format('=')}), y AS ({_SIDE.format('<>')}) SELECT vendor_key, round(CAST(sum(least(coalesce(x.n, 0), coalesce(y.n, 0))) AS DOUBLE) / sum(greatest(coalesce(x.n, 0), coalesce(y.n, 0))), 4) AS overlap FROM x FULL JOIN y USING (vendor_key, p) GROUP BY 1")
+def price_overlap_of_purchases(s, d):
+    """What vendors ask in purchases against what they ask in all other facts: every line is on one side."""
+    i = star(s, d).select("vendor_key", F.round(F.col("total_price") / 1000, 0).alias("price"), "fact_type")
+    return resolution.price_overlap(i.where("fact_type = 'purchase'"), i.where("fact_type <> 'purchase'"), ["vendor_key"])
