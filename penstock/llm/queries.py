@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, ledger, maxent, media, mixing, neardup, packing, quality, runs, shards, tokenfile, urlfilter
+from . import langid, ledger, maxent, media, mixing, neardup, packing, quality, runs, shards, tokenfile, turns, urlfilter
 
 QUERIES = {
     "op1_maxent_scores": maxent.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.query,
     "op9_histogram_shards": shards.query,
     "op10_media_columns": media.query,
+    "op11_turn_repair": turns.query,
     "op12_periodic_runs": runs.query,
     "op13_filter_cascade": urlfilter.query,
 }
