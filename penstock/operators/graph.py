@@ -31,16 +31,26 @@ def forest_roots(parents: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("the parents hold a cycle")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """nodes: node. edges: a, b. (node, root) with the least node of each component: labels take the least neighbour's, then jump to their label's label."""
-    both = cut_lineage(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("root")).distinct())
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("new"), "root")
-        up = step.select(F.col("node").alias("new"), F.col("new").alias("above"))
-        q = cut_lineage(step.join(up, "new", "left").select("node", F.least("new", F.coalesce("above", "new")).alias("root"), (F.least("new", F.coalesce("above", "new")) != F.col("root")).alias("moved")))
-        labels = q.drop("moved")
-        if not q.where("moved").head(1):
-            return labels
-    raise RuntimeError("components did not settle")
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """edges: a > b, distinct. Every node passes the least of its neighbours (small: of the lesser ones) to the others. Minima are combined before the shuffle, and the join back may be split where a node is hot."""
+    both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    linked = both.join(least, "a")
+    if small:
+        out = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    else:
+        out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return out.where("a <> b").distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes: node. edges: a, b. (node, root) with the least node of each component, by large and small stars in turns: rounds grow with the logarithm of the longest path squared at most, whatever the nodes' order, and stop when nothing changes."""
+    e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        e = cut_lineage(_star(_star(e, small=False), small=True))
+        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        if state == before:
+            break
+        before = state
+    return nodes.select("node").distinct().join(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -176,12 +176,13 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.bit_count(n(a).bitwiseXOR(n(b))))
 
 
-def duplicate_facts(facts: DataFrame, items: DataFrame) -> DataFrame:
-    """facts: id, event_date, total_amount, currency, vendor_key, slug, phash, event_time. Pairs (keeper, other) within equal date, total and currency and compatible vendors, with a verdict: no items, like photo or like prices merge; the rest is for review. The keeper has most items, then a time, then the least id; hot buckets go by vendor key first, so that a common amount isn't compared across vendors."""
+def duplicate_facts(facts: DataFrame, items: DataFrame, bucket: list[str] | None = None) -> DataFrame:
+    """facts: id, event_date, total_amount, currency, vendor_key, slug, phash, event_time. Pairs (keeper, other) within equal date, total and currency and the same vendor key (else slug), or within a given bucket such as the groups of duplicates.duplicate_groups, with a verdict: no items, like photo or like prices merge; the rest is for review. The keeper has most items, then a time, then the least id."""
     n = items.groupBy("fact_id").agg(F.count("*").alias("n_items"))
     f = facts.join(n, F.col("id") == F.col("fact_id"), "left").drop("fact_id").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
-    bucket = ["event_date", "total_amount", "currency", "vendor_group"]
-    f = f.withColumn("vendor_group", F.coalesce("vendor_key", "slug"))
+    if bucket is None:
+        bucket = ["event_date", "total_amount", "currency", "vendor_group"]
+        f = f.withColumn("vendor_group", F.coalesce("vendor_key", "slug"))
     best = f.groupBy(*bucket).agg(F.count("*").alias("k"), F.min(F.struct((-F.col("n_items")).alias("less"), F.col("event_time").isNull().alias("untimed"), F.col("id"), F.col("phash"))).alias("top")).where("k > 1")
     pairs = f.join(best, bucket).where("id <> top.id").select(F.col("top.id").alias("keeper"), F.col("id").alias("other"), F.col("n_items"), (-F.col("top.less")).alias("keeper_items"), hamming(F.col("phash"), F.col("top.phash")).alias("distance"))
     price = lambda side: pairs.select("keeper", "other", F.col(side).alias("fact_id")).join(items, "fact_id").select("keeper", "other", F.col("total_price").alias("price"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import seq_ratio
-from .graph import components
+from .merges import name_merges  # noqa: F401
 
 
 def _has(c: str, q: str) -> Column:
@@ -107,20 +107,6 @@ def search_context(stars: DataFrame, most: int = 50) -> DataFrame:
     return out.withColumn("r", F.row_number().over(Window.partitionBy("facet").orderBy("value"))).where(F.col("r") <= most).drop("r")
 
 
-def name_merges(names: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """names: id, unit, name, n, embedding. Clusters of names of a unit whose vectors have a cosine of the threshold or more, with the canonical name (most rows, shortest, first). Names are few beside rows; vectors are normalised once and compared within their unit, in blocks by the signs of leading coordinates' bands."""
-    v = F.col("embedding").cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    u = names.withColumn("e", F.when(norm > 0, F.transform(v, lambda x: x / norm))).where("e is not null").select("id", "unit", "e")
-    a, b = u.alias("a"), u.alias("b")
-    cos = F.aggregate(F.zip_with("a.e", "b.e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    edges = a.join(b, (F.col("a.unit") == F.col("b.unit")) & (F.col("a.id") < F.col("b.id"))).where(cos >= threshold).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    roots = components(names.select(F.col("id").alias("node")), edges)
-    c = names.join(roots, F.col("id") == F.col("node")).select("root", "id", "name", "n")
-    best = c.groupBy("root").agg(F.min_by("name", F.struct(-F.col("n"), F.length("name"), F.col("name"))).alias("canonical"), F.count("*").alias("members"))
-    return c.join(best.where("members > 1"), "root").select("id", "name", "canonical", "root")
-
-
 def apply_merges(items: DataFrame, mapping: DataFrame) -> DataFrame:
     """items with comparable names rewritten by (comparable_name, unit) -> canonical; a null unit matches the empty one."""
     m = mapping.select(F.col("name").alias("_n"), F.coalesce("unit", F.lit("")).alias("_u"), "canonical")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import bucket
 from ..functions.geo import haversine
 from ..functions.money import money_mean, money_sum
-from .graph import components, cut_lineage
+from .places import place_clusters
 from .spend import SPEND, vendor_group
 
 # Period, days, tolerance.
@@ -193,48 +193,6 @@ def nutrition_by_category(rows: DataFrame) -> DataFrame:
 # Places
 
 
-def place_clusters(points: DataFrame, radius_m: float = 100.0, by: list[str] | None = None) -> DataFrame:
-    """points: id, lat, lng (and keys). Greedy circles in order of id: a point joins the first seed within the radius, else becomes one.
-
-    Equal positions are one point. Space is cut into cubes with the radius for a side, so points within the radius lie in the same cube or in two that touch, at the poles and the date line too. Cubes that touch are one strip, found as connected components; no circle reaches from one strip to another, so each is scanned by itself. A task holds the distinct positions of a strip."""
-    by = by or []
-    spots = points.groupBy(*by, "lat", "lng").agg(F.min("id").alias("id"))
-    lat, lng = F.radians("lat"), F.radians("lng")
-    axes = {"_x": F.cos(lat) * F.cos(lng), "_y": F.cos(lat) * F.sin(lng), "_z": F.sin(lat)}
-    spots = cut_lineage(spots.withColumns({k: F.floor(v * (6_371_000.0 / radius_m)) for k, v in axes.items()}))
-    keys = [*by, *axes]
-    cubes = cut_lineage(spots.groupBy(*keys).agg(F.min("id").alias("cube")))
-    there = cubes.withColumnRenamed("cube", "other")
-    for k in axes:
-        there = there.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-    touching = cubes.alias("c").join(there.alias("t"), [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]).where("cube <> other")
-    strips = components(cubes.select(F.col("cube").alias("node")), touching.select(F.col("cube").alias("a"), F.col("other").alias("b")))
-    named = cubes.join(strips, F.col("cube") == F.col("node")).select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("root").alias("_strip"))
-    spots = spots.join(named, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]).select(*by, "lat", "lng", "id", "_strip")
-    kind = points.schema["id"].dataType.simpleString()
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spots.schema.fields if f.name in (*by, "lat", "lng"))
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        frame = frame.sort_values("id", kind="stable")
-        lat, lng = np.radians(frame["lat"].to_numpy()), np.radians(frame["lng"].to_numpy())
-        ids, free = frame["id"].to_numpy(), np.ones(len(frame), bool)
-        place = ids.copy()
-        for i in range(len(frame)):
-            if free[i]:  # a seed: it takes all later free points within the radius
-                a = np.sin((lat[i:] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[i:]) * np.sin((lng[i:] - lng[i]) / 2) ** 2
-                near = free[i:] & (2 * 6_371_000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= radius_m)
-                near[0] = True
-                place[i:][near] = ids[i]
-                free[i:][near] = False
-        return frame[[*by, "lat", "lng"]].assign(place=place)
-
-    placed = spots.groupBy(*by, "_strip").applyInPandas(greedy, f"{fields}, place {kind}")
-    same = [points[c].eqNullSafe(placed[c]) for c in (*by, "lat", "lng")]
-    return points.join(placed, same).select(*[points[c] for c in points.columns], "place")
-
-
 def spending_by_place(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("place").agg(F.count("*").alias("visits"), money_sum("total_amount").alias("total"), money_mean("total_amount").alias("mean"), F.countDistinct("vendor_key").alias("vendors"))
 

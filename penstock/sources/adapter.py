@@ -41,6 +41,8 @@ def oracle(sql: str) -> str:
     sql = re.sub(r"\{S:([^}]*)\}", r"CAST(sum(CAST((\1) + 3e-10 AS DECIMAL(24,6))) AS DOUBLE)", sql)
     sql = re.sub(r"\{A:([^}]*)\}", r"CAST(sum(CAST((\1) + 3e-10 AS DECIMAL(24,6))) AS DOUBLE) / count(\1)", sql)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {SQL_VIEWS.strip()}, {body[15:]}"
     return f"WITH {SQL_VIEWS.strip()}" + (f", {body[5:]}" if body.upper().startswith("WITH ") else f" {body}")
 
 
