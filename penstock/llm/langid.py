@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 A text is the average of the embeddings of its byte trigrams and four-grams (A-Z folded, word ends included), hashed into
-BUCKETS rows; a linear layer and a softmax follow. The model is fitted on a bounded, hash-drawn sample with about equal
-shares for the languages; a second sample sets the temperature and the score below which a prediction is rejected. Whole
+BUCKETS rows; a linear layer and a softmax follow. The model is fitted on a bounded sample, the first texts of each language
+in the order of a hash; the texts that follow set the temperature and the score below which a prediction is rejected. Whole
 texts are read everywhere. Inputs of a prediction are the text's bytes and nothing else. Any number of languages can be
 learned; the driver holds the sample's grams and one bias and DIM weights a language.
 
@@ -18,15 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mod_of_id, slices
+from .common import documents, mod_of_id, slices, written
 from .textkit import LOWER, SEPARATOR, utf8
 
 BUCKETS = 1 << 15
 DIM = 16
-#: Documents to fit on and to calibrate on, at most about, over all languages; each language has one at least.
+#: Distinct texts to fit on and to calibrate on, about, over all languages; each language fits on one at least.
 SAMPLE, CALIBRATION = 2400, 2400
 
 #: No prediction with a higher calibrated score is rejected.
@@ -106,18 +106,23 @@ class Model:
         return [self.languages[i] if k else "und" for i, k in zip(best.tolist(), known.tolist(), strict=True)], score, ~known | (score < self.reject_below)
 
 
-def _sampled(docs: DataFrame, want: int, lang_col: str, salt: int) -> DataFrame:
-    """About `want` rows with text and language, about as many of each language, drawn by hash of the row's id."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy(lang_col).count()
-    languages = counts.count()
-    quota = max(1.0, want / max(languages, 1))
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(salt)), F.lit(1 << 30)) / (1 << 30)
-    # A row for each language.
-    return known.join(F.broadcast(counts.withColumn("_share", F.lit(quota) / F.col("count")).drop("count")), lang_col).where(u < F.col("_share")).drop("_share")
+def _sampled(docs: DataFrame, fit: int, calibrate: int, lang_col: str) -> DataFrame:
+    """text, lang and whether the row calibrates: about `fit` distinct texts to fit on and `calibrate` others, as many of each language, the first ones in the order of a hash. A language with few texts fits on them; each with a text has one at least."""
+    known = docs.where(F.col(lang_col).isNotNull() & (F.length("text") > 0)).select(F.col(lang_col).alias("lang"), "text", F.xxhash64("text", F.lit(1)).alias("u"), F.xxhash64("text", F.lit(2)).alias("v"))
+    each = written(known.select("lang", "u", "v").distinct(), "texts-of-languages")
+    counts = each.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = max(counts.count(), 1)
+    to_fit, all_of = -(-fit // languages), -(-fit // languages) - (-calibrate // languages)
+    # Eight times what is needed and a hundred pass, whatever the language's size, so that ranking is bounded.
+    low = F.pmod("u", F.lit(1 << 30)) / (1 << 30) < (8.0 * all_of + 100) / F.col("n")
+    some = each.join(F.broadcast(counts), "lang").where(low)  # counts: a row for each language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "v"))
+    chosen = written(some.select("lang", "u", "v", rank.alias("r")).where(F.col("r") <= all_of), "drawn")
+    keys = ["lang", "u", "v", "r"]
+    return written(known.join(F.broadcast(chosen), keys[:3]).groupBy(*keys).agg(F.first("text").alias("text")).select("text", "lang", (F.col("r") > to_fit).alias("calibrates")), "sampled-texts")
 
 
-def _bags(sample: DataFrame, lang_col: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def _bags(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, buckets, weights that sum to 1) of each sampled text; bounded by the sample."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +137,7 @@ def _bags(sample: DataFrame, lang_col: str) -> list[tuple[str, np.ndarray, np.nd
                     counts.append(c.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([s.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "k", "c"])
 
-    rows = sample.select("text", lang_col).mapInArrow(part, "lang string, k binary, c binary").collect()
+    rows = sample.select("text", "lang").mapInArrow(part, "lang string, k binary, c binary").collect()
     out = []
     for r in sorted(rows, key=lambda r: (r.lang, bytes(r.k), bytes(r.c))):
         c = np.frombuffer(r.c, "<u4").astype(np.float32)
@@ -146,10 +151,10 @@ def _batch(bags, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return idx, w, np.repeat(np.arange(len(rows)), [len(bags[i][1]) for i in rows])
 
 
-def train(docs: DataFrame, lang_col: str = "lang", epochs: int = 6, rate: float = 0.5, seed: int = 5) -> Model:
-    """docs: doc_id, text and the language column; only rows that may be learned from. One in two by hash fits, the others calibrate."""
-    half = F.pmod(F.xxhash64("text"), F.lit(2))
-    bags = _bags(_sampled(docs.where(half == 0), SAMPLE, lang_col, 1), lang_col)
+def train(docs: DataFrame, lang_col: str = "lang", epochs: int = 6, rate: float = 0.5, seed: int = 5, fit: int = SAMPLE, calibrate: int = CALIBRATION) -> Model:
+    """docs: text and the language column; only rows that may be learned from. fit, calibrate: about how many texts to fit and to calibrate on."""
+    sample = _sampled(docs, fit, calibrate, lang_col)
+    bags = _bags(sample.where("not calibrates"))
     names = sorted({b[0] for b in bags})
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
@@ -184,7 +189,7 @@ def train(docs: DataFrame, lang_col: str = "lang", epochs: int = 6, rate: float
     few = len(names) <= DIM
     model = Model(names, emb @ lin if few else emb, bias.astype(np.float64), linear=None if few else lin)
     del bags, seen_e, emb  # the driver holds one sample at a time
-    return _calibrated(model, _bags(_sampled(docs.where(half == 1), CALIBRATION, lang_col, 2), lang_col))
+    return _calibrated(model, _bags(sample.where("calibrates")))
 
 
 def _calibrated(model: Model, bags) -> Model:

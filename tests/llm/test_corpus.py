@@ -335,6 +335,43 @@ def test_many_languages(spark):
     assert out > 250
 
 
+@pytest.mark.parametrize(("languages", "each"), [(60, 1), (1200, 6)])
+def test_no_language_is_lost(spark, languages, each):
+    """One text each, and more languages than a sample's share gives one to; beside a language of one text in thousands of copies."""
+    rows = [(i, f"w{i % languages} " * 3 + f"x{i // languages}", f"l{i % languages:04d}") for i in range(languages * each)]
+    rows += [(None, "one and the same", "copies")] * 3000 + [(None, f"another text {i}", "copies") for i in range(2)] + [(1, "", "empty"), (2, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    sample = langid._sampled(docs, 50, 50, "lang").collect()
+    assert {r.lang for r in sample if not r.calibrates} == {r[2] for r in rows} - {"empty", None}
+    assert len({(r.lang, r.text) for r in sample}) == len(sample) <= 2 * (languages + 1)
+    if each == 1:
+        assert len(langid.train(docs, epochs=1).languages) == languages + 1
+
+
+def test_predictions_by_brute_force(docs):
+    """Logits and scores gram by gram, in plain Python."""
+    model = langid.train(docs)
+    some = ["Der schöne Tag!", "of the THING", "é", "a", "1"] + [t for _, t, _, _ in texts()[:20]]
+    langs, score, _ = model.predict(langid.pa.array(some))
+    for t, lang, p in zip(some, langs, score, strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (lang, p) == ("und", 0)
+            continue
+        raw = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        n, z = len(raw), np.zeros(len(model.languages))
+        at = lambda i: raw[i] if 0 <= i < n else 0x20
+        for i in range(n):
+            after = at(i + 2) if i + 1 < n else 0
+            h = (at(i - 1) * 0x9E3779B1 + raw[i] * 0x85EBCA6B + at(i + 1) * 0xC2B2AE35) % 2**32
+            for x in (h, (h + after * 0x27D4EB2F + 0x165667B1) % 2**32):
+                x ^= x >> 15
+                x = x * 0x2C1B3C6D % 2**32
+                z += model.table[x >> (32 - 15)] / (2 * n)
+        z = (z + model.bias) / model.temperature
+        e = np.exp(z - z.max())
+        assert lang == model.languages[int(z.argmax())] and abs(p - e.max() / e.sum()) < 1e-4
+
+
 def test_media(spark, docs):
     rows, index = media.store(docs, scratch(spark, "m"))
     one = {r.digest: r for r in media.metadata(index).join(media.contents(index), "digest").collect()}
