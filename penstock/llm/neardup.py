@@ -96,7 +96,7 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                     [s.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(sigs, pa.binary()), s.column(2), s.column(3)], names=["id", "n_shingles", "f1", "f2", "sig", "t1", "t2"]
                 )
 
-    return docs.select("id", "text", *_text_marks("text")).mapInArrow(part, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, t1 bigint, t2 bigint")
+    return docs.select("id", "text", "t1", "t2").mapInArrow(part, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, t1 bigint, t2 bigint")
 
 
 def _text_marks(text: str) -> list:
@@ -308,7 +308,7 @@ def linked(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _confirmed(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """members: node, id, f1, f2, family, piece. (a, b): each node with the first node that full sets link it to in its piece."""
+    """members: node, id, t1, t2, f1, f2, family, piece. (a, b): each node with the first node that full sets link it to in its piece. A text is found by id and marks, since ids may be shared or missing."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], {}
@@ -318,25 +318,38 @@ def _confirmed(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
                 root = linked([sets[n] for n in nodes], rule.percent)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[i] for i in root], pa.int64())], names=["a", "b"])
 
+        def once(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Without the repeats of a row, which follow each other."""
+            new = np.ones(batch.num_rows, bool)
+            if batch.num_rows > 1:
+                x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+                new[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
+            return batch if new.all() else batch.filter(pa.array(new))
+
         for batch in batches:
-            for s in slices(batch, 5):
+            for s in slices(once(batch), 5):
                 _, _, _, first, h = word_hashes(s.column(5))
                 found = shingles(h, first, rule.words)
                 for family, piece, node, f1, f2, x in zip(*(s.column(i).to_pylist() for i in range(5)), found, strict=True):
                     if (family, piece) != key:
                         yield from flush()
                         key, nodes, sets = (family, piece), [], {}
-                    if node not in sets and len(x) and fingerprint(x) == (f1, f2):  # another text may have the same id, or the same set
+                    if node not in sets and len(x) and fingerprint(x) == (f1, f2):  # marks may agree by chance
                         nodes.append(node)
                         sets[node] = x
         yield from flush()
 
-    small = members.count() <= BROADCAST_MEMBERS
-    rows = docs.join(F.broadcast(members) if small else members, "id")
+    rows = _texts_of(docs, members)
     dealt = rows.select("family", "piece", "node", "f1", "f2", "text").repartition("family", "piece").sortWithinPartitions("family", "piece", "node")
     return dealt.mapInArrow(part, "a bigint, b bigint")
 
 
+def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members with their whole texts: a row for each row that a member stands for."""
+    small = members.count() <= BROADCAST_MEMBERS
+    return docs.join(F.broadcast(members) if small else members, ["id", "t1", "t2"])
+
+
 def _load(n: str, limit: int):
     """What a set of n shingles costs its task: many small sets cost by their number, for each is compared with the others."""
     return F.greatest(F.col(n), F.lit(limit // BLOCK_SETS))
@@ -395,21 +408,21 @@ def _completed(docs: DataFrame, members: DataFrame, found: DataFrame, rule: Rule
     """found, with the links that the dealings missed: where a cut family is still in several components, every two nodes of different components meet on full sets."""
     near = components(found).withColumnRenamed("root", "linked_to")
     cut = members.groupBy("family").agg(F.max("piece").alias("most")).where("most > 0").select("family")
-    rows = members.join(cut, "family", "left_semi").select("node", "id", "f1", "f2", "n", "family").dropDuplicates(["node"]).join(near, "node", "left")
-    rows = written(rows.select("node", "id", "f1", "f2", _load("n", limit).alias("w"), "family", F.coalesce("linked_to", "node").alias("root")), "cut-families")
-    met = _blocks(rows, ["family"], limit).select("node", "id", "f1", "f2", "family", F.col("block").alias("piece"))
+    rows = members.join(cut, "family", "left_semi").select("node", "id", "t1", "t2", "f1", "f2", "n", "family").dropDuplicates(["node"]).join(near, "node", "left")
+    rows = written(rows.select("node", "id", "t1", "t2", "f1", "f2", _load("n", limit).alias("w"), "family", F.coalesce("linked_to", "node").alias("root")), "cut-families")
+    met = _blocks(rows, ["family"], limit).select("node", "id", "t1", "t2", "f1", "f2", "family", F.col("block").alias("piece"))
     return found.unionByName(written(_confirmed(docs, met, rule), "late-links"))
 
 
 def groups(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, root, equal for the rows of a component (null: no shingles), and the marks t1 and t2 of its text."""
-    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text")).select("*", *_text_marks("text"))
     rows = written(_sets(plain, rule), "shingle-sets")
-    nodes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(F.struct("id", "t1", "t2")).alias("one"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(nodes.select("f1", "f2", "one.*", "least", "n", "sig", F.monotonically_increasing_id().alias("node")), "nodes")
     families = _families(nodes, rule).withColumnRenamed("root", "family")
-    members, cut = _dealt(nodes.select("node", "id", "f1", "f2", "n", "sig").join(families, "node"), block_shingles)
-    found = written(_confirmed(plain, members.select("node", "id", "f1", "f2", "family", "piece"), rule), "links")
+    members, cut = _dealt(nodes.select("node", "id", "t1", "t2", "f1", "f2", "n", "sig").join(families, "node"), block_shingles)
+    found = written(_confirmed(plain, members.select("node", "id", "t1", "t2", "f1", "f2", "family", "piece"), rule), "links")
     if cut:
         found = _completed(plain, members, found, rule, block_shingles)
     roots = components(found) if cut else found.selectExpr("a as node", "b as root")

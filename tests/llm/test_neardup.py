@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from penstock.llm import graph, neardup
 
@@ -163,3 +164,17 @@ def test_crowded_regions_miss_no_pair(spark):
                 pairs += 1
                 assert family[i] == family[j]
     assert pairs > 600
+
+
+@pytest.mark.parametrize("bound", [neardup.BROADCAST_MEMBERS, 0])
+def test_null_ids_meet_their_own_texts_alone(spark, monkeypatch, bound):
+    """2,000 texts without ids, and 500 under one id: each meets itself."""
+    monkeypatch.setattr(neardup, "BROADCAST_MEMBERS", bound)
+    rows = [(None, f"text number {i} of its own") for i in range(2000)] + [(3, f"other text {i}") for i in range(500)]
+    plain = spark.createDataFrame(rows, "id bigint, text string").na.fill({"id": neardup._NO_ID}).select("*", *neardup._text_marks("text"))
+    members = plain.select("id", "t1", "t2", F.monotonically_increasing_id().alias("node"))
+    assert neardup._texts_of(plain, members).count() == 2500
+    few = rows[:40] + rows[2000:2040] + rows[:5] * 3
+    docs = spark.createDataFrame(few, "doc_id bigint, text string")
+    out = neardup.groups(docs, neardup.Rule(3, 50)).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, (r.component_id is None, r.component_id or 0)) for r in out) == brute(few, 3, 50)
