@@ -447,3 +447,4 @@ def review_stats(s, d):
 
 from . import catalog_entities  # noqa: E402, F401  the second part adds itself
 from . import catalog_records  # noqa: E402, F401  and the third
+from . import catalog_links  # noqa: E402, F401  and the fourth
