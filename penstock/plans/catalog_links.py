@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vendors
-from ..operators import duplicates, merges, resolution, stats
+from ..operators import duplicates, merges, ranking, reconcile, resolution, stats
+from . import catalog_entities as entities
 from .catalog import facts, items, query
 
 # Places: vendors stand a kilometre apart, their visits a few dozen metres
@@ -100,3 +101,74 @@ def name_merges_of_items(s, d):
     named = names.select(F.xxhash64("unit", "name").alias("id"), "unit", "name", "n", merges.trigram_vector(F.col("name")).alias("embedding"))
     out = merges.name_merges(named, 0.8713)
     return out.join(named.select("id", "unit"), "id").select("unit", "name", "canonical")
+
+
+# Ranked retrieval
+
+_TOKENS = "list_filter(regexp_split_to_array(translate(lower(coalesce({0}, '')), 'áàâäãåéèêëíìîïóòôöõúùûüñç', 'aaaaaaeeeeiiiiooooouuuunc'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _bm25(texts: str, queries: str) -> str:
+    """texts: key, text; queries: q, text."""
+    return f"""WITH d AS (SELECT key, {_TOKENS.format("text")} AS w FROM ({texts})), st AS (SELECT count(*) AS total, CAST(sum(len(w)) AS DOUBLE) / count(*) AS mean FROM d),
+i AS (SELECT token, key, length, count(*) AS tf FROM (SELECT key, len(w) AS length, unnest(w) AS token FROM d) GROUP BY ALL),
+a AS (SELECT q, len(t) AS n, unnest(t) AS prefix, unnest(range(len(t))) AS k FROM (SELECT q, {_TOKENS.format("text")}[1:5] AS t FROM ({queries}))),
+h AS (SELECT q, k, n, prefix, key, length, sum(tf) AS tf FROM a JOIN i ON starts_with(token, prefix) GROUP BY ALL), df AS (SELECT prefix, count(DISTINCT key) AS df FROM h GROUP BY 1),
+s AS (SELECT q, key, n, round(sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS hits FROM h JOIN df USING (prefix), st GROUP BY ALL),
+w AS (SELECT *, bool_or(hits = n) OVER (PARTITION BY q) AS whole FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rank FROM w WHERE NOT whole OR hits = n)
+SELECT q, key, hits, score, rank FROM r WHERE rank <= CASE WHEN whole THEN 100 ELSE 200 END"""
+
+
+@query(_bm25("SELECT DISTINCT name || ' ' || lower(category) AS key, name || ' ' || lower(category) AS text FROM fact_items", "SELECT DISTINCT name AS q, left(name, 1) || ' ' || left(split_part(name, ' ', 2), 2) || CASE WHEN length(name) % 2 = 0 THEN ' zz' ELSE '' END AS text FROM fact_items"))
+def ranked_names(s, d):
+    """Names by the first letters of their words; every other query has a word that nothing begins with."""
+    i = items(s, d).select("name", "category").distinct()
+    texts = i.select(F.concat_ws(" ", "name", F.lower("category")).alias("key"))
+    short = F.concat(F.substring("name", 1, 1), F.lit(" "), F.substring(F.split("name", " ")[1], 1, 2), F.when(F.length("name") % 2 == 0, " zz").otherwise(""))
+    return ranking.ranked(texts, i.select(F.col("name").alias("q"), short.alias("text")).distinct(), "key")
+
+
+@query(_bm25("SELECT doc_id AS key, text FROM documents", "SELECT item_id AS q, text FROM benchmark"))
+def ranked_documents(s, d):
+    """Whole documents by the first words of every benchmark passage."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("key"), "text")
+    asked = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("q"), "text")
+    return ranking.ranked(docs, asked, "key", "text")
+
+
+# Line totals that miss the printed total: of most facts one line was multiplied by its quantity, some totals fit nothing
+
+
+def _receipts(s, d):
+    i = items(s, d).select("fact_id", F.row_number().over(entities._w()).alias("line"), F.col("quantity").cast("bigint").alias("quantity"), F.round(F.col("total_price") * 100).cast("bigint").alias("t"))
+    bad = (F.col("line") == 1 + F.col("fact_id") % 3) & (F.col("fact_id") % 4 > 0)
+    money = lambda c: (c.cast("decimal(20,0)") / 100).cast("decimal(20,2)")
+    lines = i.select("fact_id", "line", "quantity", money(F.when(bad, F.col("t") * F.col("quantity")).otherwise(F.col("t"))).alias("total_price"), money(F.when(bad, F.col("t")).otherwise(F.floor(F.col("t") / F.col("quantity")))).alias("unit_price"))
+    printed = i.groupBy("fact_id").agg(money(F.sum("t") + F.when(F.col("fact_id") % 11 == 0, 10_000_000).otherwise(0)).alias("printed_total"))
+    return lines, printed
+
+
+_RECEIPTS = """WITH RECURSIVE l AS (SELECT fact_id, row_number() OVER (PARTITION BY fact_id ORDER BY line, part_id, quantity, total_price) AS k, CAST(quantity AS BIGINT) AS q, CAST(round(total_price * 100) AS BIGINT) AS t FROM fact_items),
+o AS (SELECT fact_id, k, q, t, CASE WHEN bad THEN t * q ELSE t END AS total, CASE WHEN bad THEN t ELSE CAST(floor(t / q) AS BIGINT) END AS unit FROM (SELECT *, k = 1 + fact_id % 3 AND fact_id % 4 > 0 AS bad FROM l)),
+c AS (SELECT *, list_distinct(CASE WHEN q = 1 THEN [total, unit] ELSE [total, unit, total // q + CASE WHEN 2 * (total % q) > q OR (2 * (total % q) = q AND (total // q) % 2 = 1) THEN 1 ELSE 0 END] END) AS opts FROM o),
+f AS (SELECT fact_id, count(*) AS lines, sum(t)::BIGINT + CASE WHEN fact_id % 11 = 0 THEN 10000000 ELSE 0 END AS printed, sum(total)::BIGINT AS old, count(CASE WHEN len(opts) > 1 THEN 1 END) AS free, product(len(opts)) AS combos FROM c GROUP BY 1),
+g AS (SELECT *, greatest(5, printed * 6 // 1000 + CASE WHEN 2 * (printed * 6 % 1000) > 1000 OR (2 * (printed * 6 % 1000) = 1000 AND (printed * 6 // 1000) % 2 = 1) THEN 1 ELSE 0 END) AS tol FROM f),
+s AS (SELECT fact_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, 0 AS moved, CAST([] AS BIGINT[]) AS picks FROM g WHERE free BETWEEN 1 AND 16 AND combos <= 100000
+  UNION ALL SELECT fact_id, k, s + v, moved + CASE WHEN v <> total THEN 1 ELSE 0 END, list_append(picks, v) FROM (SELECT s.fact_id, c.k, s.s, s.moved, s.picks, c.total, unnest(c.opts) AS v FROM s JOIN c ON c.fact_id = s.fact_id AND c.k = s.k + 1)),
+w AS (SELECT fact_id, count(*) AS ways, min(s.s) AS s, min(moved) AS moved, any_value(picks) AS picks FROM s JOIN g USING (fact_id) WHERE s.k = lines AND abs(s.s - printed) <= tol GROUP BY 1),
+r AS (SELECT g.*, w.s, w.picks, CASE WHEN free = 0 THEN 'no adjustable lines' WHEN free > 16 THEN 'too ambiguous' WHEN combos > 100000 THEN 'too many combinations' WHEN ways IS NULL THEN 'none fits' WHEN ways > 1 THEN 'ambiguous' WHEN moved > 0 THEN 'reconciled' ELSE 'already reconciled' END AS reason FROM g LEFT JOIN w USING (fact_id)) """
+
+
+@query(_RECEIPTS + "SELECT fact_id, reason = 'reconciled' AS reconciles, reason, printed / 100 AS printed_total, old / 100 AS old_sum, CASE WHEN reason = 'reconciled' THEN s ELSE old END / 100 AS new_sum FROM r")
+def reconcile_plans(s, d):
+    return reconcile.plans(*_receipts(s, d)).drop("chosen")
+
+
+@query(
+    _RECEIPTS
+    + ", u AS (SELECT c.*, picks[k] AS v FROM c JOIN r USING (fact_id) WHERE reason = 'reconciled') SELECT fact_id, k AS line, total / 100 AS old_total, v / 100 AS new_total, (v // q + CASE WHEN 2 * (v % q) > q OR (2 * (v % q) = q AND (v // q) % 2 = 1) THEN 1 ELSE 0 END) / 100 AS new_unit FROM u WHERE v <> total"
+)
+def reconcile_fixes(s, d):
+    """The lines of the only way that is left: mostly the one that was multiplied."""
+    lines, printed = _receipts(s, d)
+    return reconcile.fixes(lines, reconcile.plans(lines, printed)).withColumn("line", F.col("line").cast("bigint"))
