@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vendors as V
-from ..functions.geo import haversine, proximity_score
+from ..functions.geo import EARTH_M, haversine, proximity_score
 from ..functions.money import money_sum
 from ..functions.similarity import seq_ratio
 from .graph import components, forest_roots
@@ -61,27 +61,64 @@ def bundle_summaries(atoms: DataFrame) -> DataFrame:
     return out.withColumn("vendor_key", V.vendor_key(reg, F.col("vendor"))).withColumn("slug", V.slug("vendor"))
 
 
-def candidate_pairs(bundles: DataFrame) -> DataFrame:
-    """bundles: ord, bundle_type, vendor, vendor_key, slug, amount, currency, event_date. (a, b) with a before b, sharing a block: the vendor key, the slug, its first four letters with nearly the same amount, or, where one is an intermediary, nearly the same amount. Two dates must be within the types' tolerance, an unknown one meets any.
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) of light rows that share a block, by date. Short tolerances meet in windows of eight days; only invoices and what pays them look 64 days far. A row without a date meets by blocks that name more than the vendor."""
+    invoice = lambda t: F.col(t) == "invoice"
+    pays = lambda t: F.col(t).isin("payment_record", "statement_line")
+    close = F.abs(F.datediff("da", "db")) <= date_tolerance(F.col("ta"), F.col("tb"))
 
-    Blocks are joined on ids alone: by week where both dates are known, so a vendor with very many bundles doesn't meet itself whole, and once more from the bundles without a date. Amounts up to 0.02 apart meet in one of two buckets. The amount alone is a block between intermediaries and all others only."""
+    def within(days: int, x: DataFrame, y: DataFrame) -> DataFrame:
+        window = lambda c: F.floor(F.unix_date(c) / days)
+        x = x.where("da is not null").select("a", "ta", "da", window("da").alias("window"), F.explode("own").alias("block"))
+        y = y.where("db is not null").select("b", "tb", "db", F.explode(F.array(*[window("db") + k for k in (-1, 0, 1)])).alias("window"), "met").select("b", "tb", "db", "window", F.explode("met").alias("block"))
+        return x.join(y, ["block", "window"]).where(close).select("a", "b")
+
+    far = within(64, left.where(invoice("ta")), right.where(pays("tb"))).unionByName(within(64, left.where(pays("ta")), right.where(invoice("tb"))))
+    x = left.select("a", "da", F.explode("own_more").alias("block"))
+    y = right.select("b", "db", F.explode("met_more").alias("block"))
+    undated = x.where("da is null").join(y, "block").unionByName(x.where("da is not null").join(y.where("db is null"), "block")).select("a", "b")
+    return within(8, left, right).unionByName(far).unionByName(undated)
+
+
+def candidate_pairs(bundles: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """bundles: ord, bundle_type, vendor, vendor_key, slug, amount, currency, event_date (and item_names, lat, lng). (a, b) with a before b, sharing a block: the vendor key, the slug, its first four letters with nearly the same amount, or, where one is an intermediary, nearly the same amount. Two dates must be within the types' tolerance, an unknown one meets any. of: ord; only pairs with one of these.
+
+    Blocks are joined on ids alone, in windows of days, so a vendor with very many bundles doesn't meet itself whole. Where a date is unknown the vendor alone can't link two bundles, so they meet by vendor with nearly the same amount, a common item or a place nearby. Amounts up to 0.02 apart meet in one of two buckets. The amount alone is a block between intermediaries and all others only."""
     names = bundles.select("vendor").distinct().withColumn("agent", V.is_intermediary("vendor"))
     b = bundles.join(names, bundles["vendor"].eqNullSafe(names["vendor"])).drop(names["vendor"]).withColumn("key", V.strip_country_prefix(F.upper("vendor_key")))
     cents = (F.col("amount") * 100).cast("bigint")
+    none = F.array().cast("array<string>")
     bucket = lambda d: F.concat_ws("|", F.floor((cents + d) / 10).cast("string"), "currency")
     money = F.when(F.col("amount").isNotNull(), bucket(0))
     near = F.when(F.col("amount").isNotNull(), F.array_distinct(F.array(bucket(-2), bucket(2))))
     head = F.when(F.length("slug") >= 4, F.substring("slug", 1, 4))
-    plain = F.array(F.concat(F.lit("k"), "key"), F.concat(F.lit("s"), F.when(F.length("slug") > 0, F.col("slug"))))
-    own = F.array_compact(F.concat(plain, F.array(F.concat(F.lit("p"), head, money), F.concat(F.lit("m"), money), F.when(F.col("agent"), F.concat(F.lit("n"), money)))))
-    met = F.array_compact(F.concat(plain, F.coalesce(F.transform(near, lambda m: F.concat(F.lit("p"), head, m)), F.array().cast("array<string>")), F.coalesce(F.when(F.col("agent"), F.transform(near, lambda m: F.concat(F.lit("m"), m))), F.array().cast("array<string>")), F.coalesce(F.when(~F.col("agent"), F.transform(near, lambda m: F.concat(F.lit("n"), m))), F.array().cast("array<string>"))))
-    thin = b.select("ord", "bundle_type", "event_date", own.alias("own"), met.alias("met"), F.floor(F.unix_date("event_date") / 64).alias("week"))
-    left = thin.select(F.col("ord").alias("a"), F.col("bundle_type").alias("ta"), F.col("event_date").alias("da"), "week", F.explode("own").alias("block"))
-    right = thin.select(F.col("ord").alias("b"), F.col("bundle_type").alias("tb"), F.col("event_date").alias("db"), "week", F.explode("met").alias("block"))
-    weeks = right.where("week is not null").withColumn("week", F.explode(F.array(F.col("week"), F.col("week") + 1, F.col("week") - 1)))
-    dated = left.join(weeks, ["block", "week"]).where(F.abs(F.datediff("da", "db")) <= date_tolerance(F.col("ta"), F.col("tb")))
-    undated = left.where("da is null").join(right.drop("week"), "block").unionByName(left.where("da is not null").join(right.where("db is null").drop("week"), "block"))
-    pairs = dated.select("a", "b").unionByName(undated.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a_ord"), F.greatest("a", "b").alias("b_ord")).distinct()
+    each = lambda cond, f: F.coalesce(F.when(cond, F.transform(near, f)), none)
+    plain = F.array_compact(F.array(F.concat(F.lit("k"), "key"), F.concat(F.lit("s"), F.when(F.length("slug") > 0, F.col("slug")))))
+    amount_own = F.array(F.concat(F.lit("p"), head, money), F.concat(F.lit("m"), money), F.when(F.col("agent"), F.concat(F.lit("n"), money)))
+    amount_met = F.concat(each(F.lit(True), lambda m: F.concat(F.lit("p"), head, m)), each(F.col("agent"), lambda m: F.concat(F.lit("m"), m)), each(~F.col("agent"), lambda m: F.concat(F.lit("n"), m)))
+    # What a vendor's block is told with where a date is unknown.
+    more_own, more_met = F.array_compact(F.array(F.concat(F.lit("$"), money))), F.coalesce(F.transform(near, lambda m: F.concat(F.lit("$"), m)), none)
+    if "item_names" in bundles.columns:
+        item = F.coalesce(F.transform("item_names", lambda x: F.concat(F.lit("i"), x)), none)
+        more_own, more_met = F.concat(more_own, item), F.concat(more_met, item)
+    if "lat" in bundles.columns:
+        lat, lng = F.radians("lat"), F.radians("lng")
+        cube = [F.floor(v * (EARTH_M / 500)) for v in (F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat))]  # a place counts enough within 500 m
+        near_by = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+        own_cube = F.array(F.concat(F.lit("l"), F.concat_ws(",", *[c.cast("string") for c in cube])))
+        shift = lambda c, k: (c + k).cast("string")
+        around = F.flatten(F.transform(near_by, lambda i: F.flatten(F.transform(near_by, lambda j: F.transform(near_by, lambda k: F.concat(F.lit("l"), F.concat_ws(",", shift(cube[0], i), shift(cube[1], j), shift(cube[2], k))))))))
+        placed = lambda cubes: F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), cubes).otherwise(none)
+        more_own, more_met = F.concat(more_own, placed(own_cube)), F.concat(more_met, placed(around))
+    told = lambda more: F.flatten(F.transform(plain, lambda v: F.transform(more, lambda m: F.concat(v, m))))
+    thin = b.select("ord", "bundle_type", "event_date", F.array_compact(F.concat(plain, amount_own)).alias("own"), F.array_compact(F.concat(plain, amount_met)).alias("met"), F.array_compact(F.concat(told(more_own), amount_own)).alias("own_more"), F.array_compact(F.concat(told(more_met), amount_met)).alias("met_more"))
+    left = thin.select(F.col("ord").alias("a"), F.col("bundle_type").alias("ta"), F.col("event_date").alias("da"), "own", "own_more")
+    right = thin.select(F.col("ord").alias("b"), F.col("bundle_type").alias("tb"), F.col("event_date").alias("db"), "met", "met_more")
+    if of is None:
+        pairs = _met(left, right)
+    else:
+        pairs = _met(left.join(of.select(F.col("ord").alias("a")), "a", "left_semi"), right).unionByName(_met(left, right.join(of.select(F.col("ord").alias("b")), "b", "left_semi")))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a_ord"), F.greatest("a", "b").alias("b_ord")).distinct()
     side = lambda s: b.select([F.col(c).alias(f"{s}_{c}") for c in b.columns])
     return pairs.join(side("a"), "a_ord").join(side("b"), "b_ord")
 
@@ -95,9 +132,13 @@ def vendor_score() -> Column:
     return F.when(keys, by_key).when(named | (F.col("a_slug") == F.col("b_slug")), 1.0).when(V.slugs_match(F.col("a_slug"), F.col("b_slug")), 0.8).otherwise(0.0)
 
 
-def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, false_pairs: DataFrame | None = None) -> DataFrame:
-    """ord pairs with score and match type; vetoes give no row."""
-    w = {**WEIGHTS, **(weights or {})}
+def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, false_pairs: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """ord pairs with score and match type; vetoes give no row. learned: vendor_key, vendor, amount, date and items, multipliers of the weights for the later bundle's vendor (of learning.weights)."""
+    w: dict[str, Column] = {k: F.lit(v) for k, v in {**WEIGHTS, **(weights or {})}.items()}
+    if learned is not None:
+        taught = learned.select(F.coalesce("vendor_key", F.lit("")).alias("_key"), *[F.col(k).alias(f"_{k}") for k in ("vendor", "amount", "date", "items")])
+        pairs = pairs.join(taught, F.coalesce("b_vendor_key", F.lit("")) == F.col("_key"), "left")
+        w |= {k: w[k] * F.coalesce(f"_{k}", F.lit(1.0)) for k in ("vendor", "amount", "date", "items")}
     p = pairs.withColumn("v", vendor_score())
     gap = F.abs((F.col("a_amount") - F.col("b_amount")).cast("decimal(18,2)"))
     amount = F.when(F.col("a_currency") != F.col("b_currency"), 0.0).when(gap == 0, 1.0).when(gap <= F.lit(0.02).cast("decimal(18,2)"), 0.8).otherwise(0.0)
@@ -120,12 +161,19 @@ def score_pairs(pairs: DataFrame, weights: dict[str, float] | None = None, false
     return p.where(~veto).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), F.round(score, 4).alias("score"), kind.alias("match_type"))
 
 
-def form_clouds(bundles: DataFrame, weights: dict[str, float] | None = None, false_pairs: DataFrame | None = None) -> DataFrame:
-    """bundles (ord is the order of arrival) to (ord, cloud): each takes its best earlier partner above 0.5 as parent, the earliest of equal ones; a cloud is a tree, named by its root."""
-    s = score_pairs(candidate_pairs(bundles), weights, false_pairs).where("score > 0.5")
+def best_partners(bundles: DataFrame, weights: dict[str, float] | None = None, false_pairs: DataFrame | None = None, learned: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    """(node, parent): each bundle (of: only these, ord) with its best earlier partner above 0.5, the earliest of equal ones, or itself."""
+    s = score_pairs(candidate_pairs(bundles, of), weights, false_pairs, learned).where("score > 0.5")
     best = s.groupBy(F.col("b").alias("node")).agg(F.min_by("a", F.struct(-F.col("score"), F.col("a"))).alias("parent"))
-    parents = bundles.select(F.col("ord").alias("node")).join(best, "node", "left").withColumn("parent", F.coalesce("parent", "node"))
-    return forest_roots(parents).select(F.col("node").alias("ord"), F.col("root").alias("cloud"))
+    nodes = bundles.select(F.col("ord").alias("node"))
+    if of is not None:
+        nodes = nodes.join(of.select(F.col("ord").alias("node")), "node", "left_semi")
+    return nodes.join(best, "node", "left").withColumn("parent", F.coalesce("parent", "node"))
+
+
+def form_clouds(bundles: DataFrame, weights: dict[str, float] | None = None, false_pairs: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """bundles (ord is the order of arrival) to (ord, cloud): each takes its best earlier partner as parent; a cloud is a tree, named by its root."""
+    return forest_roots(best_partners(bundles, weights, false_pairs, learned)).select(F.col("node").alias("ord"), F.col("root").alias("cloud"))
 
 
 def collapse_clouds(bundles: DataFrame, clouds: DataFrame) -> DataFrame:
