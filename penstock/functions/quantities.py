@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 # Spellings of units in four languages, by unit.
 UNITS = {
-    "g": "g gr gram grams γρ", "kg": "кг ka kg kgs kilo kilogram kilograms χιλιόγραμμο", "lb": "lb lbs pound pounds", "oz": "oz ounce ounces",
-    "ml": "ml milliliter milliliters μλ", "l": "l lt ltr liter liters litre litres ℓ λίτρο λίτρα", "gal": "gal gallon gallons",
-    "pcs": "ea each pc pcs piece pieces st stk stück τεμ τεμάχιο τεμάχια шт", "pack": "pack package packages pkg συσκ", "kwh": "kwh κβτω",
-    "m": "m meter meters μ μέτρο", "m2": "sqm m2 m² τμ", "m3": "cbm m3 m³ κυβ.μ", "h": "hr hour hours ώρα ώρες", "min": "min minute minutes λεπτό λεπτά",
-}
+    "g": ("g", "gr", "gram", "grams", "γρ"),
+    "kg": ("кг", "ka", "kg", "kgs", "kilo", "kilogram", "kilograms", "χιλιόγραμμο"),
+    "lb": ("lb", "lbs", "pound", "pounds"),
+    "oz": ("oz", "ounce", "ounces"),
+    "ml": ("ml", "milliliter", "milliliters", "μλ"),
+    "l": ("l", "lt", "ltr", "liter", "liters", "litre", "litres", "ℓ", "λίτρο", "λίτρα"),
+    "gal": ("gal", "gallon", "gallons"),
+    "pcs": ("ea", "each", "pc", "pcs", "piece", "pieces", "st", "stk", "stück", "τεμ", "τεμάχιο", "τεμάχια", "шт"),
+    "pack": ("pack", "package", "packages", "pkg", "συσκ"),
+    "kwh": ("kwh", "κβτω"),
+    "m": ("m", "meter", "meters", "μ", "μέτρο"),
+    "m2": ("sqm", "m2", "m²", "τμ"),
+    "m3": ("cbm", "m3", "m³", "κυβ.μ"),
+    "h": ("hr", "hour", "hours", "ώρα", "ώρες"),
+    "min": ("min", "minute", "minutes", "λεπτό", "λεπτά"),
+}
 # Unit -> (family, factor to the family's base).
 FAMILIES = {"g": ("mass", 1.0), "kg": ("mass", 1000.0), "lb": ("mass", 453.592), "oz": ("mass", 28.3495), "ml": ("volume", 1.0), "l": ("volume", 1000.0), "gal": ("volume", 3785.41), "min": ("time", 1.0), "h": ("time", 60.0)}
 # What stands for a currency on paper, and the codes known.
@@ -21,7 +32,10 @@ CURRENCY_MARKS = {
     "€": "EUR", "ΕΥΡΩ": "EUR", "ευρω": "EUR", "$": "USD", "£": "GBP", "¥": "JPY", "₽": "RUB", "руб": "RUB", "руб.": "RUB", "РУБ": "RUB", "₪": "ILS", "₹": "INR", "¢": "USD", "₩": "KRW", "₴": "UAH", "₺": "TRY",
     "₱": "PHP", "฿": "THB", "₫": "VND", "zł": "PLN", "Kč": "CZK", "kr": "SEK", "CHF": "CHF", "Fr": "CHF",
 }
-CURRENCIES = "EUR USD GBP JPY CHF SEK NOK DKK PLN CZK RUB ILS INR CNY KRW UAH TRY PHP THB VND AUD CAD NZD SGD HKD MYR IDR AED SAR ZAR BRL MXN ARS".split()
+CURRENCIES = (
+    "EUR", "USD", "GBP", "JPY", "CHF", "SEK", "NOK", "DKK", "PLN", "CZK", "RUB", "ILS", "INR", "CNY", "KRW", "UAH",
+    "TRY", "PHP", "THB", "VND", "AUD", "CAD", "NZD", "SGD", "HKD", "MYR", "IDR", "AED", "SAR", "ZAR", "BRL", "MXN", "ARS",
+)
 # Words that name a tax.
 TAX_WORDS = {
     "exempt": ("exempt", "tax-free", "tax free", "zero-rated"), "gst": ("gst", "goods and services tax"), "sales_tax": ("sales tax", "sales_tax", "salestax", "hst", "pst", "qst"),
@@ -39,7 +53,7 @@ def _map(pairs: dict) -> Column:
 
 def normalize_unit(raw: Column | str, aliases: dict[str, str] | None = None) -> Column:
     """The caller's aliases, the known spellings, the same without punctuation, x3 and single letters as pieces, else other; null or blank: pcs."""
-    table = {w: u for u, ws in UNITS.items() for w in ws.split()} | {k.lower(): v for k, v in (aliases or {}).items()}
+    table = {w: u for u, ws in UNITS.items() for w in ws} | {k.lower(): v for k, v in (aliases or {}).items()}
     t = F.lower(F.trim(_c(raw)))
     bare = F.regexp_replace(t, r"[.,;:]+", "")
     found = F.coalesce(F.try_element_at(_map(table), t), F.try_element_at(_map(table), bare))

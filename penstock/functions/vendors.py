@@ -14,9 +14,13 @@ LEGAL_SUFFIXES = (
 )
 LEGAL_PREFIXES = ("ooo", "zao", "oao")
 DISPLAY_PREFIXES = ("the", "ооо", "зао", "оао")
-GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυφωάέήίόύώϊϋΐΰ", "avgdeziiklmnxoprsstyfoaeiioyoiyiy", strict=True)) | {"θ": "th", "χ": "ch", "ψ": "ps"}
-CYRILLIC = dict(zip("абвгдеёзийклмнопрстуфыэ", "abvgdeeziyklmnoprstufye", strict=True)) | {
-    "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "yu", "я": "ya",
+GREEK = {
+    "α": "a", "ά": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "έ": "e", "ζ": "z", "η": "i", "ή": "i", "θ": "th", "ι": "i", "ί": "i", "ϊ": "i", "ΐ": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "ό": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "ύ": "y", "ϋ": "y", "ΰ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o", "ώ": "o",
+}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t",
+    "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
 }
 SENTINELS = ("", "null", "none", "nil", "n/a", "n.a.", "na", "nan", "-", "--", "unknown")
 INTERMEDIARIES = (

@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one only where none is set and everything runs in one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="penstock-")
+    return f"{root.rstrip('/')}/penstock/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's checkpoint folder; a temporary one only where none is set and everything runs in one process (tests)."""
     sc = df.sparkSession.sparkContext

@@ -22,26 +22,27 @@ PERIODS = (("weekly", 7, 2), ("biweekly", 14, 3), ("monthly", 30, 4), ("quarterl
 def amount_clusters(facts: DataFrame, tolerance: float = 0.1, least: int = 3) -> DataFrame:
     """Payments by vendor and cluster of like amounts. In ascending order an amount joins the running cluster if it is within the tolerance of its mean so far.
 
-    The scan of a vendor is sequential, so vendors are sorted apart and streamed: no vendor is held in memory as a whole."""
+    Equal amounts always end up together, so the scan takes each amount of a vendor once, with its count: what a task reads grows with a vendor's different amounts, not with its payments. It is streamed; no vendor is held in memory as a whole."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vendor, total, n, cluster = None, 0.0, 0, -1
         for f in frames:
             out = []
-            for v, a in zip(f["g"], f["total_amount"], strict=True):
+            for v, a, k in zip(f["g"], f["total_amount"], f["k"], strict=True):
                 if v != vendor:
                     vendor, total, n, cluster = v, 0.0, 0, -1
                 mean = total / n if n else None
                 if mean is None or (mean > 0 and abs(a - mean) / mean > tolerance):
                     cluster, total, n = cluster + 1, 0.0, 0
-                total, n = total + a, n + 1
+                total, n = total + a * k, n + k
                 out.append(cluster)
-            yield f.assign(cluster=out)
+            yield f[["g", "total_amount"]].assign(cluster=out)
 
     rows = facts.where("total_amount is not null and event_date is not null").withColumn("g", vendor_group()).select("g", "id", "total_amount", "event_date")
-    often = rows.groupBy("g").count().where(F.col("count") >= least).select("g")
-    dealt = rows.join(often, "g", "left_semi").repartition("g").sortWithinPartitions("g", "total_amount", "event_date", "id")
-    return dealt.mapInPandas(scan, "g string, id bigint, total_amount double, event_date date, cluster int")
+    amounts = rows.groupBy("g", "total_amount").agg(F.count("*").alias("k"))
+    often = amounts.groupBy("g").agg(F.sum("k").alias("n")).where(F.col("n") >= least).select("g")
+    dealt = amounts.join(often, "g", "left_semi").repartition("g").sortWithinPartitions("g", "total_amount")
+    return rows.join(dealt.mapInPandas(scan, "g string, total_amount double, cluster int"), ["g", "total_amount"]).select("g", "id", "total_amount", "event_date", "cluster")
 
 
 def classify_period(mean_gap: Column) -> tuple[Column, Column]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.graph import shared_folder
+
 
 def route_events(events: DataFrame) -> DataFrame:
     """File events (path, kind, ts, size, target) to actions: moves count for their target, a deleted extraction is an immediate delete, a created one is ignored."""
@@ -104,8 +106,28 @@ def current(spark, path: str, key: list[str]) -> DataFrame:
     return rows.join(newest, [*key, "epoch"], "left_semi").drop("epoch")
 
 
-def finalise(steps):
-    """A foreachBatch writer that runs named steps (batch -> None) in order, each on its own; a failing step doesn't stop the others and is reported."""
+def newest(spark, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """The greatest version of each key by `order` over all epochs (of equal ones the latest), so that old rows that are delivered again don't win."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in key]
+    by = F.struct(*order, *[c for c in ("epoch", *rest) if c not in order])
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), by).alias("_row"))
+    return best.select(*key, *[F.col(f"_row.{c}") for c in rest if c != "epoch"])
+
+
+def replay(parts: list[DataFrame], build, name: str = "replay") -> str:
+    """Delivers the parts to a folder, one after another, each read by a stream that takes what is there and ends; the next one goes on from its checkpoint, as after a restart. build: (stream, folder for results) -> DataStreamWriter. The folder for results."""
+    spark = parts[0].sparkSession
+    root = shared_folder(spark, name)
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{root}/in")
+        build(stream, f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{root}/out"
+
+
+def finalise(steps, failures: list | None = None):
+    """A foreachBatch writer that runs named steps (batch -> None) in order, each on its own; a failing step doesn't stop the others. What failed goes to `failures` as (epoch, step, error); without that list the batch fails after its last step, so that the stream doesn't go on unnoticed."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         batch.persist()
@@ -118,8 +140,10 @@ def finalise(steps):
                     failed.append((name, e))
         finally:
             batch.unpersist()
-        for name, e in failed:
-            print(f"epoch {epoch}: step {name} failed: {e}")
+        if failures is not None:
+            failures.extend((epoch, name, e) for name, e in failed)
+        elif failed:
+            raise RuntimeError(f"epoch {epoch}: " + "; ".join(f"step {name} failed: {e}" for name, e in failed))
 
     return run
 
