@@ -449,3 +449,4 @@ from . import catalog_entities  # noqa: E402, F401  the second part adds itself
 from . import catalog_records  # noqa: E402, F401  and the third
 from . import catalog_links  # noqa: E402, F401  and the fourth
 from . import catalog_streams  # noqa: E402, F401  and the fifth
+from . import catalog_refine  # noqa: E402, F401  and the sixth
