@@ -158,6 +158,22 @@ def top_groups(facts: DataFrame, key: str, limit: int = 5) -> DataFrame:
     return facts.where(F.col("fact_type").isin(*SPEND)).groupBy(key).agg(money_sum("total_amount").alias("total"), F.count("*").alias("n")).orderBy(F.desc("total"), key).limit(limit)
 
 
+def detailed_form(facts: DataFrame, items: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """Every vendor and category of the spend, and how many facts, in long form: (section, name, total, n). A fact without a vendor is Unknown, an item without a category uncategorized; categories count lines. Both dates are included."""
+    f = in_range(facts, date_from, date_to).where(F.col("fact_type").isin(*SPEND))
+    vendors = f.groupBy(F.coalesce("vendor", F.lit("Unknown")).alias("name")).agg(money_sum("total_amount").alias("total"), F.count("*").alias("n"))
+    lines = items.join(f.select(F.col("id").alias("fact_id")), "fact_id")
+    categories = lines.groupBy(F.coalesce("category", F.lit("uncategorized")).alias("name")).agg(money_sum("total_price").alias("total"), F.count("*").alias("n"))
+    return vendors.select(F.lit("vendor").alias("section"), "*").unionByName(categories.select(F.lit("category").alias("section"), "*"))
+
+
+def detailed_lines(facts: DataFrame, items: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """The lines of the spend under their category: rows, not a list for each category, so that a large category stays distributed. A quantity of null or 0 is 1."""
+    f = in_range(facts, date_from, date_to).where(F.col("fact_type").isin(*SPEND)).select(F.col("id").alias("fact_id"))
+    cents = lambda c: F.round(F.col(c).cast("decimal(24,6)"), 2).cast("double")
+    return items.join(f, "fact_id").select(F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized")).alias("category"), "fact_id", "name", F.coalesce(F.nullif(F.col("quantity").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("quantity"), cents("total_price").alias("total_price"))
+
+
 def monthly_flow(facts: DataFrame) -> DataFrame:
     spent = F.col("fact_type").isin(*SPEND)
     return facts.groupBy(bucket("event_date", "month").alias("month")).agg(money_sum(F.when(spent, F.col("total_amount"))).alias("expenses"), money_sum(F.when(~spent, F.col("total_amount"))).alias("income"))

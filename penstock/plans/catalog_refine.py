@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import products, refine
+from ..operators import products, refine, spend
+from ..sources import files
 from .catalog import facts, items, query
 
 _KINDS = ("payment", "purchase", "invoice", "warranty", "insurance", "statement", "contract", "refund")
@@ -117,3 +118,46 @@ CASE WHEN known THEN 'product_cache' END AS enrichment_source FROM c""")
 def items_from_products(s, d):
     i = items(s, d).withColumns({"brand": F.lit(None).cast("string"), "category": F.lit("none"), "unit_quantity": F.when(F.col("unit") != "pcs", F.col("unit_quantity"))})
     return products.from_products(i, _products(s, d)).select("fact_id", "line", "part_id", "brand", "category", "variant", F.array_join("attributes", ",").alias("attributes"), "unit", "unit_quantity", "enrichment_source")
+
+
+# The detailed report and exports with the documents behind each fact
+
+
+@query("""WITH f AS (SELECT * FROM facts WHERE fact_type IN ('purchase', 'subscription_payment') AND event_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31')
+SELECT 'vendor' AS section, coalesce(vendor, 'Unknown') AS name, {S:total_amount} AS total, count(*) AS n FROM f GROUP BY 2
+UNION ALL SELECT 'category', coalesce(category, 'uncategorized'), {S:total_price}, count(*) FROM fact_items JOIN f ON fact_id = id GROUP BY 2""")
+def distribution_detailed(s, d):
+    return spend.detailed_form(facts(s, d), items(s, d), "1995-01-01", "1996-12-31")
+
+
+@query("SELECT coalesce(nullif(state, ''), 'uncategorized') AS category, fact_id, name, CAST(quantity AS DOUBLE) AS quantity, CAST(round(CAST(total_price + 3e-10 AS DECIMAL(24,6)), 2) AS DOUBLE) AS total_price FROM fact_items JOIN facts ON fact_id = id WHERE fact_type IN ('purchase', 'subscription_payment')")
+def distribution_lines(s, d):
+    return spend.detailed_lines(facts(s, d), items(s, d).withColumn("category", F.col("state")))
+
+
+def _provenance(s, d):
+    """Every document of the corpus stands for a scanned one; three clouds share it, and one in four clouds has two."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("user_id"))
+    f = facts(s, d)
+    bundles = f.select("cloud_id", F.floor(F.col("id") / 3).alias("document_id")).unionByName(f.where("id % 4 = 0").select("cloud_id", F.floor(F.col("id") / 4).alias("document_id")))
+    return files.fact_provenance(f, bundles, docs)
+
+
+_BEHIND = """d AS (SELECT doc_id, source AS s, CASE WHEN doc_id % 3 > 0 THEN lang END AS u FROM documents WHERE doc_id % 7 > 0 AND source IS NOT NULL),
+b AS (SELECT cloud_id, id // 3 AS doc_id FROM facts UNION ALL SELECT cloud_id, id // 4 FROM facts WHERE id % 4 = 0),
+p AS (SELECT cloud_id, s, u FROM b JOIN d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY doc_id, s, u) = 1)"""
+
+
+@query(f"WITH {_BEHIND} SELECT id, coalesce(nullif(s, ''), 'cli') AS source, coalesce(nullif(u, ''), 'system') AS user FROM facts LEFT JOIN p USING (cloud_id)")
+def facts_with_provenance(s, d):
+    return files.with_provenance(facts(s, d), _provenance(s, d)).select("id", "source", "user")
+
+
+@query(f"WITH {_BEHIND}, i AS (SELECT fact_id, count(*) AS n, {{S:total_price}} AS total FROM fact_items GROUP BY 1) SELECT id, vendor, coalesce(nullif(s, ''), 'cli') AS source, coalesce(nullif(u, ''), 'system') AS user, coalesce(n, 0) AS n_items, total FROM facts LEFT JOIN p USING (cloud_id) LEFT JOIN i ON fact_id = id")
+def payloads_with_provenance(s, d):
+    """The payloads, read back from their JSON."""
+    from ..functions.money import money_sum
+
+    p = files.export_payload(facts(s, d), items(s, d), _provenance(s, d)).select("id", F.from_json("payload", "vendor string, source string, user string, items array<struct<total_price: double>>").alias("p"))
+    sums = p.select("id", F.explode("p.items.total_price").alias("x")).groupBy("id").agg(money_sum("x").alias("total"))
+    return p.join(sums, "id", "left").select("id", "p.vendor", "p.source", "p.user", F.when(F.col("p.items").isNull(), 0).otherwise(F.size("p.items")).cast("long").alias("n_items"), "total")

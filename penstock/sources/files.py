@@ -51,13 +51,31 @@ def export_line_items(stars: DataFrame, filters: dict | None = None) -> DataFram
     return stars.where(star_filter(filters)).select("fact_id", "line", "name", "category", "brand", "quantity", "unit", "total_price", "currency", "vendor", "vendor_key", "event_date", "country")
 
 
-def export_payload(facts: DataFrame, items: DataFrame) -> DataFrame:
-    """A JSON text for each fact with its items; source and user default to cli and system."""
+def fact_provenance(facts: DataFrame, bundles: DataFrame, documents: DataFrame) -> DataFrame:
+    """fact_id, source, user of the documents behind a fact: facts (id, cloud_id), bundles (cloud_id, document_id), documents (id, source, user_id).
+
+    Documents without a source don't count; of several the one of least id. They are reduced to one a cloud before the facts join, so a large cloud is aggregated on the map side.
+    """
+    d = documents.where("source is not null").select(F.col("id").alias("document_id"), "source", "user_id")
+    best = bundles.select("cloud_id", "document_id").join(d, "document_id").groupBy("cloud_id").agg(F.min_by(F.struct("source", "user_id"), F.struct("document_id", "source", "user_id")).alias("_d"))
+    return facts.select(F.col("id").alias("fact_id"), "cloud_id").join(best, "cloud_id").select("fact_id", F.col("_d.source").alias("source"), F.col("_d.user_id").alias("user"))
+
+
+def export_payload(facts: DataFrame, items: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
+    """A JSON text for each fact with its items; source and user by provenance (fact_id, source, user), cli and system where there is none or a null or empty one."""
     i = items.groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("name", F.col("quantity").try_cast("double").alias("quantity"), F.col("total_price").try_cast("double").alias("total_price")))).alias("items"))
-    f = facts.withColumn("source", F.lit("cli")).withColumn("user", F.lit("system")).join(i, F.col("id") == F.col("fact_id"), "left").drop("fact_id")
+    f = with_provenance(facts, provenance).join(i, F.col("id") == F.col("fact_id"), "left").drop("fact_id")
     return f.select("id", F.to_json(F.struct(*[c for c in f.columns])).alias("payload"))
 
 
+def with_provenance(facts: DataFrame, provenance: DataFrame | None) -> DataFrame:
+    """facts with source and user."""
+    if provenance is None:
+        return facts.withColumns({"source": F.lit("cli"), "user": F.lit("system")})
+    p = provenance.select(F.col("fact_id").alias("_f"), F.nullif("source", F.lit("")).alias("_s"), F.nullif("user", F.lit("")).alias("_u"))
+    return facts.join(p, F.col("id") == F.col("_f"), "left").withColumns({"source": F.coalesce("_s", F.lit("cli")), "user": F.coalesce("_u", F.lit("system"))}).drop("_f", "_s", "_u")
+
+
 def write_export(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A folder of part files; one file only for results that are small by their own limit."""
     w = df.write.mode("overwrite")
