@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import enrich, lists, predict, privacy, records, resolution, search, spend, stars, stats, store
+from .operators import duplicates, enrich, learning, lists, merges, places, predict, privacy, products, ranking, recollapse, reconcile, records, refine, resolution, search, spend, stars, stats, store
 from .plans import search_plan
 from .sources import adapter, bank, files
 from .streaming import streams
@@ -14,6 +14,7 @@ class Engine:
     """engine.facts, engine.items and engine.stars are lazy; engine.sql sees them as views."""
 
     enrich, lists, predict, privacy, records, resolution, search, spend, stars_ops, stats, store = enrich, lists, predict, privacy, records, resolution, search, spend, stars, stats, store
+    duplicates, learning, merges, places, products, ranking, recollapse, reconcile, refine = duplicates, learning, merges, places, products, ranking, recollapse, reconcile, refine
     plans, bank, files, streams = search_plan, bank, files, streams
 
     def __init__(self, spark: SparkSession, sf_dir: str):
