@@ -14,6 +14,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from .common import CACHES
 from .textkit import span_hash, utf8
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
@@ -24,10 +25,15 @@ _STABLE = [(0x0000, 0x052F), (0x2000, 0x206F), (0x3041, 0x3096), (0x30A1, 0x30FA
 LONG = 64
 #: Ids that the table may hold.
 ARENA = 1 << 24
+#: Slots that a table starts with; their number is a power of two.
+_FEW = 1 << 16
+#: New pieces that go to the library at once.
+_PORTION = 4096
 _SUFFIXES = ("s", "t", "m", "d", "re", "ve", "ll")
 
 _classes: np.ndarray | None = None
 _encoders: dict = {}
+CACHES.append(_encoders)
 
 
 def _class_table() -> np.ndarray:
@@ -43,7 +49,7 @@ def _class_table() -> np.ndarray:
 
 
 def encoder(path: str, end_id: int | None = 0) -> Encoder:
-    """One encoder for each process, so its table outlives a task."""
+    """One encoder for each process, so its table outlives a task; kernels that encode nothing let go of it."""
     if (path, end_id) not in _encoders:
         _encoders[path, end_id] = Encoder(path, end_id)
     return _encoders[path, end_id]
@@ -97,7 +103,7 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Encoder:
-    """slots: size of the table. It is emptied when two fifths full or when it holds ARENA ids, so its memory doesn't grow with the vocabulary."""
+    """slots: size of the table at most. It starts with _FEW and grows when two fifths full; at its full size, or when it holds ARENA ids, it is emptied instead, so its memory doesn't grow with the vocabulary."""
 
     def __init__(self, path: str, end_id: int | None = 0, slots: int = 1 << 22):
         from tokenizers import Tokenizer
@@ -105,10 +111,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [x.content.encode() for x in self.library.get_added_tokens_decoder().values() if x.content]
         self.end_id = end_id
-        self.slots = slots
+        self.most = slots
         self.clear()
 
     def clear(self) -> None:
+        self.slots = min(_FEW, self.most)
         self.keys = np.zeros(self.slots, np.uint64)
         self.entry = np.zeros(self.slots, np.int32)
         self.first = np.zeros(1 << 16, np.int64)
@@ -138,6 +145,31 @@ class Encoder:
         for shift in (0, 20, 42):
             yield ((h >> np.uint64(shift)) & mask).astype(np.int64)
 
+    def _put(self, new: np.ndarray, made: np.ndarray) -> None:
+        """Entries under distinct hashes; what finds no free slot is left out."""
+        rest = np.arange(len(new))
+        for slot in self._slots(new):
+            sl = slot[rest]
+            free = self.keys[sl] == 0
+            sl, took = sl[free], rest[free]
+            sl, one = np.unique(sl, return_index=True)
+            took = took[one]
+            self.keys[sl] = new[took]
+            self.entry[sl] = made[took]
+            left = np.ones(len(new), bool)
+            left[took] = False
+            rest = rest[left[rest]]
+            if not len(rest):
+                break
+
+    def _grow(self) -> None:
+        full = np.flatnonzero(self.keys)
+        keys, entry = self.keys[full], self.entry[full]
+        while self.slots < self.most and self.n > self.slots // 5:
+            self.slots *= 2
+        self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self._put(keys, entry)
+
     def _entries(self, h: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int64)
         out[e - s > LONG] = 0
@@ -157,23 +189,13 @@ class Encoder:
         at = open_[which]
         raw = buf.tobytes()
         texts = [raw[a:b].decode("utf-8") for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-        ids = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # In portions: the library's answer holds far more of a piece than its ids.
+        ids = [x.ids for k in range(0, len(texts), _PORTION) for x in self.library.encode_batch_fast(texts[k : k + _PORTION], add_special_tokens=False)]
         made = self._add(ids)
         out[open_] = made[back]
-        rest = np.arange(len(new))
-        for slot in self._slots(new):
-            sl = slot[rest]
-            free = self.keys[sl] == 0
-            sl, took = sl[free], rest[free]
-            sl, one = np.unique(sl, return_index=True)
-            took = took[one]
-            self.keys[sl] = new[took]
-            self.entry[sl] = made[took]
-            left = np.ones(len(new), bool)
-            left[took] = False
-            rest = rest[left[rest]]
-            if not len(rest):
-                break
+        if self.slots < self.most and self.n > self.slots * 2 // 5:
+            self._grow()
+        self._put(new, made)
         return out
 
     def _with_added(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -189,8 +211,11 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with end_id behind it; offsets). A null text is empty."""
         buf, off = utf8(texts)
-        if self.n > self.slots * 2 // 5 or self.used > ARENA:
-            self.clear()
+        if self.used > ARENA or self.n > self.slots * 2 // 5:
+            if self.used > ARENA or self.slots >= self.most:
+                self.clear()
+            else:
+                self._grow()
         s, first, odd = pieces(buf, off)
         e = np.append(s[1:], len(buf)) if len(s) else s
         odd |= self._with_added(buf, off)

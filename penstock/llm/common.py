@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a kernel takes at once; a longer single text is taken whole.
 SLICE_BYTES = 1 << 20
 _own: dict[str, str] = {}
+#: What a worker keeps from task to task of one stage, until a kernel of another stage starts in it.
+CACHES: list[dict] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,6 +72,30 @@ def lengths(texts: pa.Array):
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
 
 
+def give_back(caches: bool = False) -> None:
+    """Returns to the system what a worker's allocators hold unused, and with `caches` what other kernels keep. Workers live on between stages, and a kernel's leavings would stay beside the next one's needs."""
+    import ctypes
+
+    if caches:
+        for kept in CACHES:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
+
+
+def thrifty(part):
+    """part, a kernel for mapInArrow, in a worker that holds no leavings while and after it runs."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(caches=True)
+        yield from part(batches)
+        give_back()
+
+    return kernel
+
+
 def mod_of_id(id_col: str, m: int):
     """crc32 of the decimal text of an id, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m

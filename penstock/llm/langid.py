@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mod_of_id, slices, written
+from .common import documents, give_back, mod_of_id, slices, thrifty, written
 from .textkit import LOWER, SEPARATOR, utf8
 
 BUCKETS = 1 << 15
@@ -137,7 +137,7 @@ def _bags(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                     counts.append(c.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([s.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "k", "c"])
 
-    rows = sample.select("text", "lang").mapInArrow(part, "lang string, k binary, c binary").collect()
+    rows = sample.select("text", "lang").mapInArrow(thrifty(part), "lang string, k binary, c binary").collect()
     out = []
     for r in sorted(rows, key=lambda r: (r.lang, bytes(r.k), bytes(r.c))):
         c = np.frombuffer(r.c, "<u4").astype(np.float32)
@@ -218,7 +218,9 @@ def predictor(spark: SparkSession, model: Model):
 
     def predict(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        give_back(caches=True)
         parts = [shared.value.predict(s.column(0)) for s in slices(batch, 0)]
+        give_back()
         langs = [x for p in parts for x in p[0]]
         cat = lambda i, kind: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(cat(1, float)), pa.array(cat(2, bool))], names=["lang_pred", "score", "rejected"])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, written
+from .common import documents, give_back, slices, thrifty, written
 from .textkit import word_hashes
 
 TOPICS, _DIM = 8, 64
@@ -54,30 +54,18 @@ def _bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9), n_words
 
 
-def give_back() -> None:
-    """Returns to the system what a worker's allocators hold unused. Workers live on between stages, and a kernel's leavings would stay beside the next one's needs."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
-    if trim:
-        trim(0)
-
-
 def bags(docs: DataFrame) -> DataFrame:
     """u (the row's draw, 0 to 1), source, lang, n_tokens and x, the text's vector (_DIM 32-bit floats), of every row; and doc_id."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         for batch in batches:
             for s in slices(batch, 0):
                 x, n = _bags(s.column(0))
                 vectors = pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(s.column(i) for i in range(1, 5)), pa.array(n, pa.int64()), vectors], names=["doc_id", "u", "source", "lang", "n_tokens", "x"])
-        give_back()
 
     own = docs.select("text", F.col("doc_id").cast("bigint"), drawn_at().alias("u"), F.col("source").cast("string"), F.col("lang").cast("string"))
-    return own.mapInArrow(part, "doc_id bigint, u double, source string, lang string, n_tokens bigint, x binary")
+    return own.mapInArrow(thrifty(part), "doc_id bigint, u double, source string, lang string, n_tokens bigint, x binary")
 
 
 def drawn_at(seed: int = 11) -> Column:
@@ -273,6 +261,7 @@ def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, fl
     def topic(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
         out = [nearest(_bags(s.column(0))[0].astype("<f4").astype(np.float64), shared.value) for s in slices(batch, 0)]
+        give_back(caches=True)
         return pa.array([f"t{k}" for x in out for k in x.tolist()], pa.string())
 
     topic.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, slices, written
+from .common import documents, slices, thrifty, written
 from .graph import components
 from .textkit import mix, shingles, word_hashes
 
@@ -96,7 +96,7 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                     [s.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(sigs, pa.binary()), s.column(2), s.column(3)], names=["id", "n_shingles", "f1", "f2", "sig", "t1", "t2"]
                 )
 
-    return docs.select("id", "text", "t1", "t2").mapInArrow(part, "id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, t1 bigint, t2 bigint")
+    return docs.select("id", "text", "t1", "t2").mapInArrow(thrifty(part), "id bigint, n_shingles bigint, f1 bigint, f2 bigint, sig binary, t1 bigint, t2 bigint")
 
 
 def _text_marks(text: str) -> list:
@@ -117,7 +117,7 @@ def _forest(nodes: DataFrame) -> DataFrame:
                 keys = np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH]).astype(">u4")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array([x.tobytes() for x in keys], pa.binary()), batch.column(0), sketch], names=["tree", "key", "node", "sketch"])
 
-    return nodes.select("node", "sig").mapInArrow(part, "tree int, key binary, node bigint, sketch binary")
+    return nodes.select("node", "sig").mapInArrow(thrifty(part), "tree int, key binary, node bigint, sketch binary")
 
 
 class _Union:
@@ -223,7 +223,7 @@ def _candidates(forest: DataFrame, rule: Rule) -> DataFrame:
             yield opened(*last)
 
     dealt = forest.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return dealt.mapInArrow(part, "a bigint, b bigint, tree int, prefix binary")
+    return dealt.mapInArrow(thrifty(part), "a bigint, b bigint, tree int, prefix binary")
 
 
 def _met(rows: DataFrame, least: float) -> DataFrame:
@@ -341,7 +341,7 @@ def _confirmed(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
 
     rows = _texts_of(docs, members)
     dealt = rows.select("family", "piece", "node", "f1", "f2", "text").repartition("family", "piece").sortWithinPartitions("family", "piece", "node")
-    return dealt.mapInArrow(part, "a bigint, b bigint")
+    return dealt.mapInArrow(thrifty(part), "a bigint, b bigint")
 
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import documents, slices, written
+from .common import documents, give_back, slices, written
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, _part int, _rank bigint"
 
@@ -115,6 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0,
                     cols.append(pa.array([x.tobytes() for x in cut], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()  # the encoder stays for the stage's next task
 
     return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` as text").mapInArrow(part, PIECES + (", ids binary" if with_ids else ""))
 

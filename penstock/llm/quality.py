@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, written
+from .common import documents, give_back, slices, table, thrifty, written
 from .textkit import SEPARATOR, mix, span_hash, utf8, words
 
 #: Labelled documents to fit on, at most about.
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     text = docs.where("text is not null").select(F.col(id_col).alias("doc_id"), "text")
     # drawn is bounded by its limit: ids and labels only.
-    rows = text.join(F.broadcast(drawn), "doc_id").select("text", "y").limit(4 * sample).mapInArrow(part, "x array<double>, y int").collect()
+    rows = text.join(F.broadcast(drawn), "doc_id").select("text", "y").limit(4 * sample).mapInArrow(thrifty(part), "x array<double>, y int").collect()
     zero = Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     y = np.array([r.y for r in rows], float)
     if len(set(y.tolist())) < 2:
@@ -133,7 +133,10 @@ def evidence(spark: SparkSession, model: Model):
 
     def logit(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        return pa.array(np.concatenate([shared.value.logits(s.column(0)) for s in slices(batch, 0)] or [np.zeros(0)]), pa.float64())
+        give_back(caches=True)
+        out = np.concatenate([shared.value.logits(s.column(0)) for s in slices(batch, 0)] or [np.zeros(0)])
+        give_back()
+        return pa.array(out, pa.float64())
 
     logit.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(logit, "double")
