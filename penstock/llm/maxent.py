@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mod_of_id, slices, written
+from .common import documents, give_back, mod_of_id, slices, thrifty, written
 from .textkit import mix, utf8, word_hashes
 
 SYMBOLS, SURFACES, CLASSES = 128, 32, 16
@@ -55,6 +55,8 @@ END = np.uint64(0x0123456789ABCDEF)
 _BITS = SYMBOLS.bit_length() - 1
 #: Words of a partition whose counts are held before they are passed on.
 _HELD = 1_000_000
+#: Edges of contexts, once for each class before, that the normalisers of a batch take at once; a context has SYMBOLS at most.
+_EDGES = 1 << 18
 #: Text of a batch; pairs of a range, about; occurrences of a context beyond which its targets fall into parts.
 BATCH_BYTES, RANGE_PAIRS, PART = 4 << 20, 1_500_000, 1 << 22
 #: A pair is a feature from so many occurrences on, if the likelihood gains so much by it (nats); its weight is the maximum-likelihood one under this L1 penalty.
@@ -197,7 +199,7 @@ def _vocabulary(training: DataFrame) -> DataFrame:
         if held:
             yield out(added())
 
-    return training.select("text").mapInArrow(part, "h bigint, surface int, c bigint").groupBy("h").agg(F.min("surface").alias("surface"), F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(thrifty(part), "h bigint, surface int, c bigint").groupBy("h").agg(F.min("surface").alias("surface"), F.sum("c").alias("c"))
 
 
 def _statistics(training: DataFrame, head, end: int) -> DataFrame:
@@ -215,7 +217,7 @@ def _statistics(training: DataFrame, head, end: int) -> DataFrame:
         if len(code):
             yield pa.RecordBatch.from_arrays([pa.array((code >> _BITS).astype(np.int32)), pa.array((code & (SYMBOLS - 1)).astype(np.int32)), pa.array(n[code])], names=["context", "symbol", "n"])
 
-    return training.select("text").mapInArrow(part, "context int, symbol int, n bigint").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(thrifty(part), "context int, symbol int, n bigint").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
 def _round(shared):
@@ -400,7 +402,7 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
                 k += 1
                 yield from make(int.from_bytes(mark.digest(), "little", signed=True), s)
 
-    return docs.mapInArrow(part, schema)
+    return docs.mapInArrow(thrifty(part), schema)
 
 
 _SENT = "batch bigint, kind int, range bigint, n int, keys binary, counts binary"
@@ -433,6 +435,7 @@ def _answered(sent: DataFrame, shared) -> DataFrame:
     """For each row of _sent what its batch needs: for rare tokens their counts, for pairs the weights, and for the contexts that have features, by class, what these add to the class's mass."""
 
     def answer(table: pa.Table) -> pa.Table:
+        give_back()  # of the range before
         model = shared.value
         kind = table.column("kind")[0].as_py()
         sizes = table.column("n").to_pylist()
@@ -486,6 +489,20 @@ def _answered(sent: DataFrame, shared) -> DataFrame:
 _SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
+def _added(p: np.ndarray, dense: np.ndarray, ctx: np.ndarray, first: np.ndarray, edge_class: np.ndarray, edge_g: np.ndarray, held: int = _EDGES) -> np.ndarray:
+    """For each pair of classes before (dense) and context (ctx) the sum over the context's edges of P(class | classes before) * g. A context's edges are met once for each pair, so they are taken in portions of about `held`."""
+    size = first[ctx + 1] - first[ctx]
+    ends, out, a = np.cumsum(size), np.zeros(len(ctx)), 0
+    while a < len(ctx):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + held, "right")))
+        n = size[a:b]
+        own = np.repeat(np.arange(b - a), n)
+        e = np.repeat(first[ctx[a:b]] - (np.cumsum(n) - n), n) + np.arange(len(own))
+        out[a:b] = np.bincount(own, p[dense[a:b][own], edge_class[e]] * edge_g[e], b - a)
+        a = b
+    return out
+
+
 def _score(model: Model, space: float, s: pa.RecordBatch, answers: pa.Table) -> pa.Table:
     """The scores of one batch."""
     t = tokens(s.column(2))
@@ -515,10 +532,7 @@ def _score(model: Model, space: float, s: pa.RecordBatch, answers: pa.Table) ->
     one = np.zeros(len(code), np.int64)
     one[which] = np.arange(len(which))
     c, dense = code >> _BITS, x.context[one]
-    size = first[c + 1] - first[c]
-    own = np.repeat(np.arange(len(code)), size)
-    e = np.repeat(first[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    added = np.bincount(own, model.p[dense[own], edge_class[e]] * edge_g[e], len(code))
+    added = _added(model.p, dense, c, first, edge_class, edge_g)
     share = np.ones(len(code))
     for k in np.flatnonzero(x.level[one]).tolist():
         share[k] = model.p[dense[k]].astype(float) @ model.q_parts[int(x.level[one[k]])][x.part[one[k]]]
@@ -623,6 +637,7 @@ def scored(docs: DataFrame, held_out, head_size: int = HEAD, part: int = PART, r
         for raw in texts.column("rows").to_pylist():
             for s in pa.ipc.open_stream(raw):
                 out.append(_score(shared.value, space, s, answers))
+        give_back()
         return pa.concat_tables(out) if out else pa.table({c.split()[0]: [] for c in _SCORES.split(", ")})
 
     texts = _batches(own, whole, "batch bigint, rows binary").groupBy("batch")

@@ -1,12 +1,13 @@
 """What the corpus kernels hold while they work and leave behind, measured in one process."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 
-from penstock.llm import bpe, common
+from penstock.llm import bpe, common, maxent
 
 
 def test_encoder_grows_with_what_it_keeps():
@@ -54,3 +55,23 @@ def test_new_pieces_go_to_the_library_in_portions():
     text = " ".join(f"w{i}" for i in range(30_000))
     assert enc.encode(pa.array([text]))[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
     assert sum(asked) > 10_000 and max(asked) <= 4096
+
+
+def test_normalisers_in_portions():
+    """The edges of contexts, met once for each class before, never stand together; the sums are those of a plain loop."""
+    rng = np.random.default_rng(3)
+    contexts, edges = 200, 100
+    first = np.arange(contexts + 1) * edges
+    edge_class, edge_g = rng.integers(0, maxent.SYMBOLS, contexts * edges).astype(np.uint8), rng.random(contexts * edges)
+    p = rng.random((maxent.SYMBOLS**2, maxent.SYMBOLS)).astype(np.float32)
+    ctx, dense = np.repeat(np.arange(contexts), 120), rng.integers(0, maxent.SYMBOLS**2, contexts * 120)
+    tracemalloc.start()
+    got = maxent._added(p, dense, ctx, first, edge_class, edge_g)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # all at once: 2.4 million edges, 41 to 65 bytes each
+    for k in rng.integers(0, len(ctx), 300).tolist():
+        e = slice(first[ctx[k]], first[ctx[k] + 1])
+        assert abs(got[k] - float((p[dense[k], edge_class[e]] * edge_g[e]).sum())) < 1e-9
+    none = np.zeros(0, np.int64)
+    assert not len(maxent._added(p, none, none, first, edge_class, edge_g))
