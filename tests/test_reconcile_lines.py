@@ -54,3 +54,10 @@ def test_batches_equal_single_facts(spark):
         solved += done and choice != [round(r[4], 2) if r[4] is not None else None for r in rows]
         assert sorted(found[f]) == [(r[1], c, done) for r, c in zip(rows, choice, strict=True)]
     assert solved > 30
+
+
+def test_query_reads_lines_once(spark):
+    from penstock.plans.catalog import QUERIES
+
+    plan = QUERIES["reconciled_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().partition("== Physical Plan ==")[2]
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("lineitem.parquet") == 1
