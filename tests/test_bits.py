@@ -58,3 +58,13 @@ def test_photos_against_all_pairs(spark, monkeypatch, task):
     want = {x: min(10 * i for i, y in enumerate(v) if g[y] == g[x]) for g in [groups(v, 6)] for x in v}
     got = {r.id: r.group for r in resolution.photo_groups(spark.createDataFrame(rows, "id bigint, phash string")).collect()}
     assert got == {**{i: want[int(p, 16)] for i, p in rows if p.strip() and len(p) == 16}, 9000: 9000, 9001: 9000}
+
+
+def test_many_values_in_one_band(spark):
+    """All share fifty bits, so every pair met in several blocks before."""
+    n = 60_000
+    rng = random.Random(1)
+    v = rng.sample(range(1 << 40), n)
+    spread = spark.createDataFrame([(x << 20,) for x in v], "v bigint")
+    links = bits.links(spread, 1).count()
+    assert links < 4 * n
