@@ -13,3 +13,9 @@ def plan(df):
 def test_bundles_know_their_slugs_without_a_join(spark):
     text = plan(entities._noisy_bundles(spark, SF))
     assert text.count("SortMergeJoin") + text.count("BroadcastHashJoin") <= 4  # customers and nations, of two kinds of bundles
+
+
+def test_pairs_are_cut_off_from_their_blocks(spark):
+    text = plan(resolution.score_pairs(resolution.candidate_pairs(entities._noisy_bundles(spark, SF))))
+    assert "RDDScan" in text or "Scan ExistingRDD" in text  # pairs were written, so their blocks' shuffles may go
+    assert "xxhash64" not in text
