@@ -19,3 +19,9 @@ def test_pairs_are_cut_off_from_their_blocks(spark):
     text = plan(resolution.score_pairs(resolution.candidate_pairs(entities._noisy_bundles(spark, SF))))
     assert "RDDScan" in text or "Scan ExistingRDD" in text  # pairs were written, so their blocks' shuffles may go
     assert "xxhash64" not in text
+
+
+def test_collapsing_repeats_no_row(spark):
+    b = entities._noisy_bundles(spark, SF)
+    text = plan(resolution.collapse_clouds(b, b.selectExpr("ord", "ord as cloud")))
+    assert "Expand" not in text
