@@ -25,3 +25,10 @@ def test_collapsing_repeats_no_row(spark):
     b = entities._noisy_bundles(spark, SF)
     text = plan(resolution.collapse_clouds(b, b.selectExpr("ord", "ord as cloud")))
     assert "Expand" not in text
+
+
+def test_the_state_of_an_aggregate_is_not_shuffled(spark):
+    b = entities._noisy_bundles(spark, SF)
+    text = plan(resolution.collapse_clouds(b, b.selectExpr("ord", "ord as cloud")))
+    at = text.index("REPARTITION_BY_COL")
+    assert "min_by" in text[:at] and "min_by" not in text[at:]
