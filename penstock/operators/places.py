@@ -13,6 +13,8 @@ from .graph import cut_lineage
 
 #: Distinct positions of a tile, beyond which space is cut finer.
 TILE_SPOTS = 4_000
+#: Rows of a group that is scanned as it is, without tiles.
+GROUP_ROWS = 256
 AXES = ("x", "y", "z")
 UNDECIDED, SEED, COVERED = 0, 1, 2
 
@@ -85,11 +87,43 @@ def _settled(frame: pd.DataFrame, radius_m: float) -> pd.DataFrame:
     return frame.loc[done, ["g", "id"]].assign(now=status[done])
 
 
+def _scanned(rows: DataFrame, radius_m: float, by: list[str]) -> DataFrame:
+    """rows of small groups with `place`: each group is gathered once and scanned in order of id."""
+    kind = rows.schema["id"].dataType.simpleString()
+    spot = lambda r: F.struct(r["id"].alias("id"), r["lat"].cast("double").alias("lat"), r["lng"].cast("double").alias("lng"))
+    rest = [c for c in rows.columns if c not in by]
+    groups = rows.repartition(*by).groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    spots = F.array_sort(F.transform(F.filter("_rows", lambda r: r["lat"].isNotNull() & r["lng"].isNotNull()), spot))
+    near = lambda s, m: _within(s["lat"], s["lng"], m, radius_m)
+    none = F.array().cast(f"array<struct<id:{kind},lat:double,lng:double>>")
+    seeds = F.aggregate(spots, none, lambda seen, s: F.when(F.exists(seen, lambda m: near(s, m)), seen).otherwise(F.array_append(seen, s)))
+    place = lambda r: F.array_min(F.transform(F.filter("_seeds", lambda m: near(r, m)), lambda m: m["id"]))
+    placed = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in rest], F.when(r["lat"].isNotNull() & r["lng"].isNotNull(), place(r)).alias("place")))
+    return groups.withColumn("_seeds", seeds).select(*by, F.inline(placed)).select(*rows.columns, "place")
+
+
 def place_clusters(points: DataFrame, radius_m: float = 100.0, by: list[str] | None = None, tile_spots: int = TILE_SPOTS) -> DataFrame:
     """points: id, lat, lng (and keys). Greedy circles in order of id: a point joins the first seed within the radius, else becomes one. Adds `place`, the seed's id (null without a position).
 
-    Equal positions are one spot. Space is cut into cubes with the radius for a side, so spots within the radius lie in the same cube or in two that touch, at the poles and the date line too. Cubes are dealt into tiles of a bounded number of spots. In each round a tile takes its spots in order, with the seeds and undecided spots of the cubes that touch it, as far as nothing earlier is open outside; the first open spot of all is settled in every round, so the rounds end. Cubes too full for a task are thinned by aggregation before. Seeds lie further apart than the radius, so few of them are near any cube, and every spot looks for its first one among those."""
+    Equal positions are one spot. Space is cut into cubes with the radius for a side, so spots within the radius lie in the same cube or in two that touch, at the poles and the date line too. Cubes are dealt into tiles of a bounded number of spots. In each round a tile takes its spots in order, with the seeds and undecided spots of the cubes that touch it, as far as nothing earlier is open outside; the first open spot of all is settled in every round, so the rounds end. Cubes too full for a task are thinned by aggregation before. Seeds lie further apart than the radius, so few of them are near any cube, and every spot looks for its first one among those.
+
+    Groups (by) of GROUP_ROWS rows or less need none of this: each is scanned as it is."""
     by = by or []
+    if by:
+        full = cut_lineage(points.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_ROWS).select(*[F.col(c).alias(f"_{c}") for c in by]))
+        if not full.head(1):
+            return _scanned(points, radius_m, by)
+        told = None
+        for c in by:
+            same = F.col(c).eqNullSafe(F.col(f"_{c}"))
+            told = same if told is None else told & same
+        small = _scanned(points.join(full, told, "left_anti"), radius_m, by)
+        return small.unionByName(_tiled(points.join(full, told, "left_semi"), radius_m, by, tile_spots))
+    return _tiled(points, radius_m, by, tile_spots)
+
+
+def _tiled(points: DataFrame, radius_m: float, by: list[str], tile_spots: int) -> DataFrame:
+    """place_clusters for groups of any size."""
     g = F.to_json(F.struct(*by)) if by else F.lit("")
     rows = points.withColumn("_g", g)
     lat, lng = F.radians("lat"), F.radians("lng")
