@@ -36,3 +36,9 @@ def test_groups_against_a_scan(spark, monkeypatch, rows):
         want[i] = i if hit is None else hit
     df = spark.createDataFrame(points, "id bigint, vendor_key string, total_amount double, lat double, lng double")
     assert {r.id: r.place for r in places.place_clusters(df, 100.0, ["vendor_key"]).collect()} == want
+
+
+def test_small_groups_make_no_frames(spark):
+    df = spark.range(400).selectExpr("id", "cast(id % 90 as string) as vendor_key", "1.5d as total_amount", "34.5d + id % 5 / 100d as lat", "33.0d as lng")
+    plan = stats.vendor_branches(df)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Scan ExistingRDD" not in plan.partition("== Physical Plan ==")[2]
