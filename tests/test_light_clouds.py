@@ -32,3 +32,11 @@ def test_the_state_of_an_aggregate_is_not_shuffled(spark):
     text = plan(resolution.collapse_clouds(b, b.selectExpr("ord", "ord as cloud")))
     at = text.index("REPARTITION_BY_COL")
     assert "min_by" in text[:at] and "min_by" not in text[at:]
+
+
+def test_finished_steps_are_let_go(spark, monkeypatch):
+    gone = []
+    monkeypatch.setattr(resolution, "let_go", lambda s: gone.append(s))
+    b = entities._noisy_bundles(spark, SF).where("ord < 200")
+    resolution.form_clouds(b).count()
+    assert len(gone) == 2
